@@ -2,11 +2,12 @@
 
 Lines are compared by a key: the line without ``[\\x20\\x09-\\x0D]`` at both ends,
 A-Z lower-cased. A key found in at least ``min_docs`` documents loses all its
-lines everywhere. Keys travel as two 64-bit hashes with different seeds.
+lines everywhere. Keys travel as MD5 digests.
 
 A document's distinct keys are found inside its row, so the count of documents
 per key is one aggregation, combined before the shuffle: a key in every
-document costs one row a task. Frequent keys go back to their documents by a
+document costs one row a task. The digests are stored once, as they are needed
+for the count and again for the join. Frequent keys go back to their documents by a
 shuffled join, which adaptive execution splits where a key is hot; the texts
 are moved once, to meet their frequent keys.
 
@@ -21,29 +22,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import Scratch
+
 BLANK = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def line_key(line: Column) -> Column:
-    """The line stripped, A-Z lower-cased; letters beyond ASCII keep their case."""
-    bare = F.btrim(line, F.lit(BLANK))
-    # for pure ASCII, lower() is the same and much the faster
-    return F.when(F.length(bare) == F.octet_length(bare), F.lower(bare)).otherwise(F.translate(bare, UPPER, UPPER.lower()))
+#: Characters beyond ASCII that lower() may change.
+CASED = r"[\P{ASCII}&&[\p{Lu}\p{Lt}\p{Nl}\p{So}]]"
+
 
+def line_key(line: Column) -> Column:
+    """The line stripped, A-Z lower-cased; letters beyond ASCII keep their case.
 
-def _digest(key: Column) -> Column:
-    return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(0x5EED), key).alias("b"))
+    The general forms, btrim() and translate(), go through a text character by
+    character and are used only for lines that need them.
+    """
+    edge = F.lit(False)
+    for c in BLANK:
+        edge = edge | F.startswith(line, F.lit(c)) | F.endswith(line, F.lit(c))
+    bare = F.when(edge, F.btrim(line, F.lit(BLANK))).otherwise(line)
+    plain = (F.length(bare) == F.octet_length(bare)) | ~F.rlike(bare, F.lit(CASED))
+    return F.when(plain, F.lower(bare)).otherwise(F.translate(bare, UPPER, UPPER.lower()))
 
 
 def _lines(text: str) -> Column:
     return F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
 
 
-def _hashed(text: str, min_key: int) -> Column:
+def _digests(text: str, min_key: int) -> Column:
+    """A digest for each line, null where the key is too short."""
+
     def one(line):
-        # the key is bound once: the comparison and both hashes share it
-        return F.get(F.transform(F.array(line_key(line)), lambda k: F.when(F.length(k) >= min_key, _digest(k))), F.lit(0))
+        # the key is bound once: the comparison and the digest share it
+        return F.get(F.transform(F.array(line_key(line)), lambda k: F.when((F.octet_length(k) if min_key <= 1 else F.length(k)) >= min_key, F.md5(k))), F.lit(0))
 
     return F.transform(_lines(text), one)
 
@@ -55,7 +67,9 @@ def drop_frequent_lines(docs: DataFrame, text_col: str = "text", id_col: str = "
     have equal sets, so rows need no number of their own.
     """
     tag = F.struct(F.col(f"`{id_col}`").alias("i"), F.xxhash64(F.col(f"`{text_col}`")).alias("h"), F.xxhash64(F.lit(0x5EED), F.col(f"`{text_col}`")).alias("g"))
-    keys = docs.select(tag.alias("d"), F.filter(F.array_distinct(_hashed(f"`{text_col}`", min_key)), lambda k: k.isNotNull()).alias("ks")).select("d", F.explode("ks").alias("k"))
+    scratch = Scratch(docs.sparkSession, "lines")
+    own = docs.select(tag.alias("d"), F.array_compact(F.array_distinct(_digests(f"`{text_col}`", min_key))).alias("ks"))
+    keys = scratch.write(own.where(F.size("ks") > 0), "keys").select("d", F.explode("ks").alias("k"))
     hot = keys.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("k")
     found = keys.join(hot, "k").groupBy("d").agg(F.collect_set("k").alias("_ld_hot"))
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
@@ -63,7 +77,7 @@ def drop_frequent_lines(docs: DataFrame, text_col: str = "text", id_col: str = "
     rows = docs.select(F.struct(F.lit(0).alias("_ld_"), *[F.col(f"`{c}`") for c in rest]).alias("_ld_row"), tag.alias("d"), F.col(f"`{text_col}`").alias("_ld_text"))
     met = rows.join(found.withColumnRenamed("d", "_ld_d"), F.col("d").eqNullSafe(F.col("_ld_d")), "left")
     lines = _lines("_ld_text")
-    pairs = F.zip_with(lines, _hashed("_ld_text", min_key), lambda x, k: F.struct(x.alias("line"), k.alias("key")))
+    pairs = F.zip_with(lines, _digests("_ld_text", min_key), lambda x, k: F.struct(x.alias("line"), k.alias("key")))
     stay = F.transform(F.filter(pairs, lambda p: p["key"].isNull() | ~F.array_contains(F.col("_ld_hot"), p["key"])), lambda p: p["line"])
     out = met.select("_ld_row", "_ld_text", F.size(lines).cast("bigint").alias("n_lines"), F.when(F.col("_ld_hot").isNull(), lines).otherwise(stay).alias("_ld_stay"))
     text = F.when(F.col("n_lines") == F.size("_ld_stay"), F.col("_ld_text")).otherwise(F.array_join("_ld_stay", "\n"))

@@ -95,7 +95,7 @@ def decode_blocks(data: np.ndarray, start: np.ndarray, low: np.ndarray, width: n
 class Writer:
     """Writes one file front to back, a frame of blocks at a time."""
 
-    def __init__(self, sink, percentile: float = 0.9):
+    def __init__(self, sink, percentile: float = 0.95):
         self.sink, self.percentile, self.at = sink, percentile, len(MAGIC)
         sink.write(MAGIC)
         self.wait: list[np.ndarray] = []
@@ -181,7 +181,7 @@ def _open(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") else f"file://{uri}")
 
 
-def write_files(docs: DataFrame, path: str, folder: str, end_id: int = 2, percentile: float = 0.9) -> DataFrame:
+def write_files(docs: DataFrame, path: str, folder: str, end_id: int = 2, percentile: float = 0.95) -> DataFrame:
     """Encode and write all documents; (shard, uri, n_docs, n_ids) of the files, in ascending order of doc_id.
 
     One range shuffle of the texts puts documents in order; each task streams its

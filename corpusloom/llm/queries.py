@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exactdedup, linededup, packing, pfor
+from . import bagminhash, bpe, exactdedup, langid, linededup, packing, pfor, quality_model, quality_rules, substring
+from ._shared import fold
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +21,18 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, fold("doc_id", 3) != 1, per_lang=2000)
+    found = langid.identify(docs, spark.sparkContext.broadcast(model))
+    return found.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(True)).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=20)
+    return out.select("doc_id", "n_removed", "removed", "text")
+
+
 def op3_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), capacity=1024, end_id=0)
 
@@ -28,6 +41,10 @@ def op4_pfor_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfor.write_and_read(table(spark, sf_dir, "documents"), vocabulary(), end_id=2)
 
 
+def op5_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.classes(table(spark, sf_dir, "documents"), threshold=0.8)
+
+
 def op6_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -41,6 +58,20 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.dedup_batch(table(spark, sf_dir, "documents"), exactdedup.halves())
 
 
+def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    vectors = spark.sparkContext.broadcast(quality_model.word_vectors(docs))
+    model = quality_model.fit(docs, table(spark, sf_dir, "labels"), vectors, fold("doc_id", 5) != 0, max_labels=20_000)
+    out = quality_model.score(docs, model, vectors)
+    return out.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    trees = quality_rules.fit(docs, table(spark, sf_dir, "labels"), max_labels=20_000)
+    return quality_rules.judge(docs, trees)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
