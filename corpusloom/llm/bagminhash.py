@@ -17,9 +17,12 @@ document in a thousand; those are done again with twice the horizon.
 3. In rounds, each bucket picks a leader; members that are not yet known to be in
    the leader's component are verified against it by exact multiset overlap.
    So a bucket of thousands of near copies costs a few verifications a member.
-4. Pairs of a bucket that are in different components after ``ROUNDS`` rounds, and
-   were not compared, are all compared. So no link inside a bucket is lost,
-   and no pair that is known to be connected is made.
+4. Buckets that still hold several components are divided into blocks of bounded
+   size, and each pair of blocks is worked through in memory: members of
+   different components are compared, those with too few equal components of the
+   signature apart (two documents at the threshold fall under ``AGREE`` once in
+   about a million), and only links come out. So no link inside a bucket is lost, and
+   no pair ever becomes a row.
 
 Null and empty texts have no shingles and are alone in their class. Rows of the
 same id are one document. Repeated rows count in the class size. A class is
@@ -39,7 +42,9 @@ from ._shared import Scratch
 from .graph import components
 
 SHINGLE, COMPONENTS, ROWS = 5, 80, 4
-ROUNDS = 5
+ROUNDS = 2
+#: Members of a bucket that are compared in memory at once, and equal components that a pair needs.
+BLOCK, AGREE = 1024, 46
 #: Rows of a key table that may be broadcast (about 40 bytes each).
 SMALL = 500_000
 
@@ -128,7 +133,10 @@ def _node(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, docs: int) -> list
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, bands) of every row; node and bands are null without shingles."""
+    """(doc_id, node, bands, bytes) of every row; all but the id are null without shingles.
+
+    ``bytes`` has eight bits of each signature component.
+    """
 
     def run(batches):
         for batch in batches:
@@ -136,14 +144,16 @@ def sketch(docs: DataFrame) -> DataFrame:
                 n = end - first
                 doc, h, weight = multiset(*shingles(buf, off))
                 some = np.bincount(doc, minlength=n) > 0
-                band = bands(signatures(doc, h, weight, n)).astype(np.int64)
+                sig = signatures(doc, h, weight, n)
+                band = bands(sig).astype(np.int64)
+                low = _arrow.mix(sig.view(np.uint64)).astype(np.uint8)
                 node = _node(doc, h, weight, n)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, n), pa.array([x if s else None for x, s in zip(node, some, strict=True)], pa.binary()), pa.array([x if s else None for x, s in zip(band, some, strict=True)], pa.list_(pa.int64()))],
-                    ["doc_id", "node", "bands"],
+                    [batch.column(0).slice(first, n), pa.array([x if s else None for x, s in zip(node, some, strict=True)], pa.binary()), pa.array([x if s else None for x, s in zip(band, some, strict=True)], pa.list_(pa.int64())), pa.array([x.tobytes() if s else None for x, s in zip(low, some, strict=True)], pa.binary())],
+                    ["doc_id", "node", "bands", "bytes"],
                 )
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, node binary, bands array<bigint>")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, node binary, bands array<bigint>, bytes binary")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -199,47 +209,110 @@ def verify(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     return met.select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary")
 
 
+def _block_links(table: pa.Table, threshold: float) -> list[tuple[bytes, bytes]]:
+    """Links between different components among the members of one bucket, or of two of its blocks."""
+    col = {c: table.column(c).to_pylist() for c in ("band", "p", "q", "block", "node", "comp", "bag")}
+    n = table.num_rows
+    band = np.array(table.column("bands").to_pylist(), np.int64)
+    low = np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8).reshape(n, -1)
+    here = int(np.argmax(band[0] == col["band"][0]))
+    block, across = np.array(col["block"]), col["p"][0] != col["q"][0]
+    size = np.array([len(x) for x in col["bag"]])
+    parent = {c: c for c in col["comp"]}
+
+    def root(c):
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    bag: dict[int, tuple] = {}
+
+    def counts(i):
+        if i not in bag:
+            bag[i] = np.unique(np.frombuffer(col["bag"][i], np.uint64), return_counts=True)
+        return bag[i]
+
+    names, name = np.unique(np.array([c.hex() for c in col["comp"]]), return_inverse=True)
+    most = int(np.argmax(np.bincount(name)))
+    links, done = [], np.zeros(n, bool)
+    for i in np.flatnonzero(name != most):
+        done[i] = True
+        near = np.flatnonzero(~done & (name != name[i]) | (name == most))
+        if across:
+            near = near[block[near] != block[i]]
+        near = near[np.minimum(size[near], size[i]) >= threshold * np.maximum(size[near], size[i]) * (1 - 1e-9)]
+        equal = band[near] == band[i]
+        near = near[equal.any(axis=1) & (equal.argmax(axis=1) == here)]  # a pair is compared in its first bucket only
+        agree = (low[near] == low[i]).sum(axis=1)
+        for j in near[np.argsort(-agree, kind="stable")[: int((agree >= AGREE).sum())]].tolist():
+            a, b = root(col["comp"][i]), root(col["comp"][j])
+            if a == b:
+                continue
+            (ui, ci), (uj, cj) = counts(i), counts(j)
+            _, x, y = np.intersect1d(ui, uj, assume_unique=True, return_indices=True)
+            both = int(np.minimum(ci[x], cj[y]).sum())
+            if both >= threshold * (size[i] // 8 + size[j] // 8 - both) * (1 - 1e-9):
+                links.append((col["node"][i], col["node"][j]))
+                parent[max(a, b)] = min(a, b)
+    return links
+
+
+def _rest(mixed: DataFrame, nodes: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """(u, v): links between components inside the buckets of ``mixed`` (band, node, comp)."""
+
+    def one(table: pa.Table) -> pa.Table:
+        links = _block_links(table, threshold)
+        return pa.table({"u": pa.array([a for a, _ in links], pa.binary()), "v": pa.array([b for _, b in links], pa.binary())})
+
+    blocks = mixed.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = mixed.join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # each two blocks meet once, and each block meets itself
+    dealt = dealt.select("band", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "comp")
+    met = dealt.join(nodes.select("node", "bands", "bytes"), "node").join(bags, "node")
+    return met.groupBy("band", "p", "q").applyInArrow(one, "u binary, v binary").distinct()
+
+
+def _merge(comp: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """``comp`` (node, comp) with the components that ``links`` (u, v) connect made one."""
+    cu, cv = comp.select(F.col("node").alias("u"), F.col("comp").alias("cu")), comp.select(F.col("node").alias("v"), F.col("comp").alias("cv"))
+    joined = links.join(cu, "u").join(cv, "v").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
+    merged = components(joined).select(F.col("node").alias("comp"), F.col("comp").alias("root"))
+    return scratch.write(comp.join(merged, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")), name)
+
+
 def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(doc_id, class_id, class_size) of every row."""
     scratch = Scratch(docs.sparkSession, "near")
     rows = scratch.write(sketch(docs), "sketch")
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"), F.first("bytes").alias("bytes"))
     nodes = scratch.write(nodes, "nodes")
 
     band = nodes.select("node", "rep", F.explode("bands").alias("band"))
-    full = band.groupBy("band").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    full = band.groupBy("band").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("band")
     members = scratch.write(band.join(full, "band").select("band", "node", "rep"), "members")
     own = members.select(F.col("rep").alias("doc_id"), "node").where("doc_id is not null").distinct()
     bags = scratch.write(_bags(docs, own).dropDuplicates(["node"]), "bags")
 
     comp = members.select("node", F.col("node").alias("comp")).distinct()
-    tested = None
     for step in range(ROUNDS + 1):
         here = members.select("band", "node").join(comp, "node")
         if step:  # buckets in which some pair is not yet connected
             mixed = here.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("band")
             here = here.join(mixed, "band")
-        if step < ROUNDS:
+        if step == ROUNDS:
+            links = scratch.write(_rest(here, nodes, bags, threshold), "rest")
+        else:
             order = F.struct(F.xxhash64("node", F.lit(step)).alias("o"), F.col("node").alias("n"), F.col("comp").alias("c"))
             lead = here.groupBy("band").agg(F.min(order).alias("lead"))
             pairs = here.join(lead, "band").where(F.col("comp") != F.col("lead.c")).select(F.least("node", "lead.n").alias("u"), F.greatest("node", "lead.n").alias("v"))
-        else:
-            other = here.select("band", F.col("node").alias("node2"), F.col("comp").alias("comp2"))
-            pairs = here.join(other, "band").where(F.col("comp") < F.col("comp2")).select(F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v"))
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs = scratch.write(pairs, f"pairs{step}")
-        if pairs.limit(1).count():
-            tested = pairs if tested is None else tested.unionByName(pairs)
+            pairs = scratch.write(pairs.distinct(), f"pairs{step}")
+            if not pairs.limit(1).count():
+                break  # every bucket is of one component
             links = scratch.write(verify(pairs, bags, threshold), f"links{step}")
-            cu, cv = comp.select(F.col("node").alias("u"), F.col("comp").alias("cu")), comp.select(F.col("node").alias("v"), F.col("comp").alias("cv"))
-            joined = links.join(cu, "u").join(cv, "v").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
-            if links.limit(1).count():
-                merged = components(joined).select(F.col("node").alias("comp"), F.col("comp").alias("root"))
-                comp = scratch.write(comp.join(merged, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")), f"comp{step}")
-        elif not step or not mixed.limit(1).count():
-            break
+        if links.limit(1).count():
+            comp = _merge(comp, links, scratch, f"comp{step}")
 
     named = nodes.select("node", "rep", "n").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     named = named.join(named.groupBy("comp").agg(F.min("rep").alias("class_id"), F.sum("n").alias("class_size")), "comp").select("node", "class_id", "class_size")
