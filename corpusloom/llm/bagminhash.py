@@ -96,7 +96,7 @@ def signatures(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, docs: int, co
             d, h_, w = d0[on], h0[on], w0[on]
             if not len(d):
                 break
-            state, t, limit = _arrow.mix(h_ ^ _arrow.mix(np.array([level + 1], np.uint64) * _ODD)), np.zeros(len(d)), (expect / total)[d]
+            state, t, limit = _arrow.mix(h_ ^ _arrow.mix(np.array([level + 1], np.uint64) * _ODD)), np.zeros(len(d)), (expect / np.maximum(total, 1))[d]
             while len(d):
                 state = _arrow.mix(state + _GOLD)
                 t = t - np.log(((state >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / size

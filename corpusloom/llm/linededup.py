@@ -70,7 +70,8 @@ def drop_frequent_lines(docs: DataFrame, text_col: str = "text", id_col: str = "
     scratch = Scratch(docs.sparkSession, "lines")
     own = docs.select(tag.alias("d"), F.array_compact(F.array_distinct(_digests(f"`{text_col}`", min_key))).alias("ks"))
     keys = scratch.write(own.where(F.size("ks") > 0), "keys").select("d", F.explode("ks").alias("k"))
-    hot = keys.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("k")
+    # stored, so that the join has an exchange on both sides and a hot key's rows can be split
+    hot = scratch.write(keys.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("k"), "hot")
     found = keys.join(hot, "k").groupBy("d").agg(F.collect_set("k").alias("_ld_hot"))
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     rest = [c for c in kept if c != text_col]

@@ -161,7 +161,8 @@ class Reader:
         return decode_blocks(data, self.start[first:end] - self.start[first], self.low[first:end], self.width[first:end], self.count[first:end])
 
     def ids(self, start: int, n: int) -> np.ndarray:
-        """``n`` ids from position ``start``: reads only the blocks that hold them."""
+        """Up to ``n`` ids from position ``start``: reads only the blocks that hold them."""
+        n = min(n, self.total - start)
         if n <= 0:
             return np.zeros(0, np.uint32)
         first = start // BLOCK

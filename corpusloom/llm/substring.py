@@ -87,6 +87,7 @@ def flagged(docs: DataFrame) -> DataFrame:
     all_units = scratch.write(units(docs), "units")
     rank = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("i"), F.col("pos").alias("p"))
     earliest = all_units.groupBy("digest").agg(F.min(rank).alias("a"), F.max(rank).alias("b")).where("a != b").select("digest", "a")
+    earliest = scratch.write(earliest, "earliest")  # so that a hot digest's units can be split in the join
     met = all_units.join(earliest, "digest").where(rank != F.col("a"))
     return met.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "digest")).alias("later"))
 
