@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def shared_root(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; a temporary folder only if that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -25,10 +28,20 @@ class Scratch:
         self.spark = spark
         self.path = f"{shared_root(spark)}/corpusloom-{label}-{uuid.uuid4().hex}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return it reread: the lineage is cut at stored files."""
-        target = f"{self.path}/{name}"
-        df.write.mode("overwrite").parquet(target)
+    def write(self, df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
+        """Write ``df`` and return it reread: the lineage is cut at stored files.
+
+        ``batch`` bounds the rows of an Arrow batch while ``df`` is made, for rows
+        that are large; the session's own bound is put back.
+        """
+        target, conf = f"{self.path}/{name}", self.spark.conf
+        before = conf.get(BATCH)
+        if batch is not None:
+            conf.set(BATCH, min(batch, int(before)) if int(before) > 0 else batch)
+        try:
+            df.write.mode("overwrite").parquet(target)
+        finally:
+            conf.set(BATCH, before)
         return self.spark.read.schema(df.schema).parquet(target)
 
     def drop(self, name: str) -> None:

@@ -193,14 +193,14 @@ def verify(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             keep = []
-            for x, y in zip(a, b, strict=True):
+            for a, b in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(c.as_buffer(), np.uint64) for c in (a, b))
                 if min(len(x), len(y)) < threshold * max(len(x), len(y)) * (1 - 1e-9):
                     keep.append(False)
                     continue
-                both = overlap(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))
-                keep.append(both >= threshold * (len(x) // 8 + len(y) // 8 - both) * (1 - 1e-9))
+                both = overlap(x, y)
+                keep.append(both >= threshold * (len(x) + len(y) - both) * (1 - 1e-9))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     left = bags.select(F.col("node").alias("u"), F.col("bag").alias("a"))
@@ -285,7 +285,7 @@ def _merge(comp: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> Da
 def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(doc_id, class_id, class_size) of every row."""
     scratch = Scratch(docs.sparkSession, "near")
-    rows = scratch.write(sketch(docs), "sketch")
+    rows = scratch.write(sketch(docs), "sketch", batch=2000)
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"), F.first("bytes").alias("bytes"))
     nodes = scratch.write(nodes, "nodes")
 
@@ -293,7 +293,7 @@ def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     full = band.groupBy("band").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("band")
     members = scratch.write(band.join(full, "band").select("band", "node", "rep"), "members")
     own = members.select(F.col("rep").alias("doc_id"), "node").where("doc_id is not null").distinct()
-    bags = scratch.write(_bags(docs, own).dropDuplicates(["node"]), "bags")
+    bags = scratch.write(_bags(docs, own).dropDuplicates(["node"]), "bags", batch=1000)
 
     comp = members.select("node", F.col("node").alias("comp")).distinct()
     for step in range(ROUNDS + 1):
@@ -302,7 +302,7 @@ def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
             mixed = here.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("band")
             here = here.join(mixed, "band")
         if step == ROUNDS:
-            links = scratch.write(_rest(here, nodes, bags, threshold), "rest")
+            links = scratch.write(_rest(here, nodes, bags, threshold), "rest", batch=500)
         else:
             order = F.struct(F.xxhash64("node", F.lit(step)).alias("o"), F.col("node").alias("n"), F.col("comp").alias("c"))
             lead = here.groupBy("band").agg(F.min(order).alias("lead"))
@@ -310,7 +310,7 @@ def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
             pairs = scratch.write(pairs.distinct(), f"pairs{step}")
             if not pairs.limit(1).count():
                 break  # every bucket is of one component
-            links = scratch.write(verify(pairs, bags, threshold), f"links{step}")
+            links = scratch.write(verify(pairs, bags, threshold), f"links{step}", batch=500)
         if links.limit(1).count():
             comp = _merge(comp, links, scratch, f"comp{step}")
 

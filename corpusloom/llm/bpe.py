@@ -34,7 +34,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 os.environ.setdefault("RAYON_NUM_THREADS", "1")
 
 #: Fragments whose ids a worker keeps, some 150 bytes each; beyond it the memory starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 
 
 def byte_symbols() -> list[str]:
@@ -139,7 +139,7 @@ class ForcedBoundaryBPE:
 
     def encode(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, end row, ids, offsets) for bounded runs of a batch's rows."""
-        for first, end, buf, off in _arrow.chunks(column):
+        for first, end, buf, off in _arrow.chunks(column, 4 << 20):
             yield first, end, *self.encode_flat(buf, off)
 
     def decode(self, ids: list[int]) -> str:

@@ -84,7 +84,7 @@ def units(docs: DataFrame) -> DataFrame:
 def flagged(docs: DataFrame) -> DataFrame:
     """(doc_id, later array<struct<pos, digest>>): each document's units that occur earlier elsewhere."""
     scratch = Scratch(docs.sparkSession, "units")
-    all_units = scratch.write(units(docs), "units")
+    all_units = scratch.write(units(docs), "units", batch=2000)
     rank = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("i"), F.col("pos").alias("p"))
     earliest = all_units.groupBy("digest").agg(F.min(rank).alias("a"), F.max(rank).alias("b")).where("a != b").select("digest", "a")
     earliest = scratch.write(earliest, "earliest")  # so that a hot digest's units can be split in the join
