@@ -10,10 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import bagminhash, linededup, packing, quality_rules, substring
-from corpusloom.llm._shared import Scratch
+from corpusloom.llm._shared import BATCH, Scratch
 from corpusloom.llm.queries import table, vocabulary
 
 
+#: Rows of an Arrow batch: stages carry whole texts to Python and back.
+ROWS = 1000
+
+
+def _lean(spark: SparkSession) -> None:
+    if not 0 < int(spark.conf.get(BATCH)) <= ROWS:
+        spark.conf.set(BATCH, ROWS)
+
+
 def _counted(df: DataFrame, columns: list[str]) -> DataFrame:
     """The columns of the input, with the number of characters as it is now."""
     if "n_chars" in columns:
@@ -23,26 +32,31 @@ def _counted(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
+    _lean(spark)
     return quality_rules.keep_good(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in ten documents or more go."""
+    _lean(spark)
     return _counted(linededup.drop_frequent_lines(docs), docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class stays."""
+    _lean(spark)
     return bagminhash.keep_one(docs)
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has go."""
+    _lean(spark)
     return _counted(substring.drop_repeats(docs), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 1024 tokens."""
+    _lean(spark)
     return packing.pack(docs, vocabulary())
 
 

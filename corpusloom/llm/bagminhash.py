@@ -153,7 +153,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                     ["doc_id", "node", "bands", "bytes"],
                 )
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, node binary, bands array<bigint>, bytes binary")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_arrow.tidy(run), "doc_id bigint, node binary, bands array<bigint>, bytes binary")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -177,7 +177,7 @@ def _bags(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([node[i] for i in keep], pa.binary()), pa.array(bag, pa.binary())], ["node", "bag"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(_small(wanted), "doc_id")
-    return rows.select("doc_id", "text", "node").mapInArrow(run, "node binary, bag binary")
+    return rows.select("doc_id", "text", "node").mapInArrow(_arrow.tidy(run), "node binary, bag binary")
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -206,7 +206,7 @@ def verify(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     left = bags.select(F.col("node").alias("u"), F.col("bag").alias("a"))
     right = bags.select(F.col("node").alias("v"), F.col("bag").alias("b"))
     met = left.join(_small(pairs), "u").join(right, "v")
-    return met.select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary")
+    return met.select("u", "v", "a", "b").mapInArrow(_arrow.tidy(run), "u binary, v binary")
 
 
 def _block_links(table: pa.Table, threshold: float) -> list[tuple[bytes, bytes]]:
@@ -263,6 +263,8 @@ def _rest(mixed: DataFrame, nodes: DataFrame, bags: DataFrame, threshold: float)
 
     def one(table: pa.Table) -> pa.Table:
         links = _block_links(table, threshold)
+        if table.num_rows > BLOCK // 2:
+            _arrow.settle()
         return pa.table({"u": pa.array([a for a, _ in links], pa.binary()), "v": pa.array([b for _, b in links], pa.binary())})
 
     blocks = mixed.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))

@@ -163,7 +163,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), lists], ["id", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return docs.select(id_col, text_col).mapInArrow(_arrow.tidy(run), f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -176,7 +176,7 @@ def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string())], ["id", "text"])
 
     kind = tokens.schema[id_col].dataType.simpleString()
-    return tokens.select(id_col, ids_col).mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", id_col)
+    return tokens.select(id_col, ids_col).mapInArrow(_arrow.tidy(run), f"id {kind}, text string").withColumnRenamed("id", id_col)
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
@@ -198,4 +198,4 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                     b.append(hashlib.sha256(bpe.decode(own).encode()).hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(count, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(_arrow.tidy(run), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

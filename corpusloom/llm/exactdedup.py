@@ -120,7 +120,7 @@ def digests(docs: DataFrame, *extra: Column) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *extra)
     more = "".join(f", {f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
-    return rows.mapInArrow(run, f"doc_id bigint, digest binary, points bigint{more}")
+    return rows.mapInArrow(_arrow.tidy(run), f"doc_id bigint, digest binary, points bigint{more}")
 
 
 def _key(digest: Column) -> Column:
@@ -179,7 +179,7 @@ def _same_bytes(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     if wanted.count() <= SMALL:
         wanted = F.broadcast(wanted)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    texts = rows.join(wanted, "doc_id", "left_semi").mapInArrow(run, "doc_id bigint, digest binary, bare binary").dropDuplicates(["doc_id", "digest"])
+    texts = rows.join(wanted, "doc_id", "left_semi").mapInArrow(_arrow.tidy(run), "doc_id bigint, digest binary, bare binary").dropDuplicates(["doc_id", "digest"])
     old = pairs.join(texts, (pairs["a"] == texts["doc_id"]) & (pairs["digest"] == texts["digest"])).select(pairs["digest"], F.col("b"), F.col("bare").alias("old"))
     again = texts.select(F.col("doc_id").alias("b2"), F.col("digest").alias("d2"), F.col("bare").alias("new"))
     return old.join(again, (F.col("b") == F.col("b2")) & (F.col("digest") == F.col("d2"))).where(F.col("old") == F.col("new")).select("digest")

@@ -63,7 +63,7 @@ def count_grams(rows: DataFrame) -> DataFrame:
                     code, n = np.unique(gram[own == lang], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
-    return rows.select("lang", "text").mapInArrow(run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return rows.select("lang", "text").mapInArrow(_arrow.tidy(run), "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def fit(docs: DataFrame, learn: Column, per_lang: int = 2000) -> Model | None:
@@ -169,4 +169,4 @@ def identify(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(lang, pa.string()), pa.array(score), pa.array(rate)], ["id", "lang_pred", "score", "bits_per_byte"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, f"id {kind}, lang_pred string, score double, bits_per_byte double").withColumnRenamed("id", id_col)
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(_arrow.tidy(run), f"id {kind}, lang_pred string, score double, bits_per_byte double").withColumnRenamed("id", id_col)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from . import _arrow  # noqa: F401
+from . import _arrow
 from .bpe import codec
 
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -122,5 +122,6 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 0, id_c
                     rows = []
         rows.extend(map(said, packer.close()))
         yield batch_of(rows)
+        bpe.forget()  # many tasks of other kinds may come before this worker packs again
 
-    return docs.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}` text").mapInArrow(run, SCHEMA)
+    return docs.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}` text").mapInArrow(_arrow.tidy(run), SCHEMA)

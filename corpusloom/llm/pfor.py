@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import _arrow
 from ._shared import Scratch
 from .bpe import codec
 
@@ -213,7 +214,7 @@ def write_files(docs: DataFrame, path: str, folder: str, end_id: int = 2, percen
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     dealt = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
-    return dealt.mapInArrow(run, "shard bigint, uri string, n_docs bigint, n_ids bigint")
+    return dealt.mapInArrow(_arrow.tidy(run), "shard bigint, uri string, n_docs bigint, n_ids bigint")
 
 
 def read_files(manifest: DataFrame) -> DataFrame:
@@ -248,7 +249,7 @@ def read_files(manifest: DataFrame) -> DataFrame:
     # one row a file, and a file holds a whole partition of texts: the running sum is over few rows
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     based = manifest.select("shard", "uri", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("bigint").alias("base"))
-    return based.repartition(max(1, files)).mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return based.repartition(max(1, files)).mapInArrow(_arrow.tidy(run), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def write_and_read(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:

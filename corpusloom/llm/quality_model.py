@@ -88,7 +88,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), *(pa.array(table[used, k]) for k in range(DIMS))], ["bucket", *names])
 
     names = [f"v{k}" for k in range(DIMS)]
-    parts = docs.select("text").mapInArrow(run, "bucket bigint, " + ", ".join(f"{n} bigint" for n in names))
+    parts = docs.select("text").mapInArrow(_arrow.tidy(run), "bucket bigint, " + ", ".join(f"{n} bigint" for n in names))
     rows = parts.groupBy("bucket").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
     out = np.zeros((BUCKETS, DIMS))
     out[rows["bucket"].to_numpy(np.int64)] = rows[names].to_numpy(np.float64)
@@ -175,7 +175,7 @@ def _mapped(rows: DataFrame, schema: str, one) -> DataFrame:
             for first, end, buf, off in _arrow.chunks(batch.column(1)):
                 yield one(batch, first, end, buf, off)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(_arrow.tidy(run), schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, vectors, learn: Column | None = None, max_labels: int = 20_000) -> Network | float:

@@ -197,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000) -> Trees |
                 yield pa.RecordBatch.from_arrays([batch.column(c).slice(first, end - first) for c in ("doc_id", "label")] + [pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "label", "x"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = labelled(docs, labels, max_labels).mapInArrow(run, f"doc_id {kind}, label double, x array<double>")
+    rows = labelled(docs, labels, max_labels).mapInArrow(_arrow.tidy(run), f"doc_id {kind}, label double, x array<double>")
     rows = rows.dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
     if not len(rows) or not 0 < (rows["label"] >= 0.5).sum() < len(rows):
         return None
@@ -221,7 +221,7 @@ def judge(docs: DataFrame, trees: Trees | None, id_col: str = "doc_id", text_col
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), *(pa.array(c, pa.int64()) for c in cols), pa.array(failed), pa.array(~failed & (score >= threshold)), pa.array(score)], ["id", *(x.split()[0] for x in SCHEMA.split(", "))])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, f"id {kind}, {SCHEMA}").withColumnRenamed("id", id_col)
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(_arrow.tidy(run), f"id {kind}, {SCHEMA}").withColumnRenamed("id", id_col)
 
 
 def keep_good(docs: DataFrame, trees: Trees | None, text_col: str = "text", min_words: int = 50, threshold: float = 0.3) -> DataFrame:
@@ -238,4 +238,4 @@ def keep_good(docs: DataFrame, trees: Trees | None, text_col: str = "text", min_
                 keep.append(ok & (trees.probability(features(s)) >= threshold) if trees is not None else ok)
             yield batch.filter(pa.array(np.concatenate(keep)) if keep else pa.array([], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(_arrow.tidy(run), docs.schema)

@@ -78,7 +78,7 @@ def units(docs: DataFrame) -> DataFrame:
                 use = np.flatnonzero(u.size > 1)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first).take(pa.array(u.doc[use])), pa.array(u.pos[use].astype(np.int32)), pa.array(u.digest[use].astype(np.int64))], ["doc_id", "pos", "digest"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, pos int, digest bigint")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_arrow.tidy(run), "doc_id bigint, pos int, digest bigint")
 
 
 def flagged(docs: DataFrame) -> DataFrame:
@@ -149,4 +149,4 @@ def drop_repeats(docs: DataFrame, text_col: str = "text", min_words: int = 20) -
 
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     schema = T.StructType([*rows.schema.fields, T.StructField("removed", T.ArrayType(span)), T.StructField("n_removed", T.LongType())])
-    return met.mapInArrow(run, schema)
+    return met.mapInArrow(_arrow.tidy(run), schema)
