@@ -212,9 +212,11 @@ def ordinal_table() -> dict[str, int]:
 
 def ordinal(c: Column) -> Column:
     """Sanskrit ordinal of a chapter title as an integer, by lookup of its stem; null if unknown."""
-    stem = F.regexp_replace(F.translate(strip(c), JOINERS, ""), "(तमो|तमः|ो|ः)?ऽ?(ध्यायः.*)?$", "")
+    word = F.translate(strip(c), JOINERS, "")
+    plain = F.regexp_replace(word, "(ो|ः)?ऽ?(ध्यायः.*)?$", "")  # first: सप्तमो holds the ending of the compounds
+    stem = F.regexp_replace(word, "(तमो|तमः|ो|ः)?ऽ?(ध्यायः.*)?$", "")
     table = F.create_map(*[F.lit(x) for kv in ordinal_table().items() for x in kv])
-    return F.coalesce(table[stem], table[F.regexp_replace(stem, "ो$", "")])
+    return F.coalesce(table[plain], table[stem], table[F.regexp_replace(stem, "ो$", "")])
 
 
 # Published correspondences of Devanagari and IAST.
