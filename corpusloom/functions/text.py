@@ -83,10 +83,24 @@ def char_grams(c: Column, n: int) -> Column:
     return F.flatten(F.transform(F.array(F.split(c, "")), grams))
 
 
+def gram_bag(c: Column, n: int) -> Column:
+    """All ``n``-grams of code points, grouped by where they start modulo ``n``.
+
+    One pass of a pattern from each of the first ``n`` characters: several times
+    as fast as ``char_grams`` where order does not matter.
+    """
+    passes = [F.regexp_extract_all(F.substr(c, F.lit(k + 1)), F.lit(f"(?s).{{{n}}}"), F.lit(0)) for k in range(n)]
+    return F.flatten(F.array(*passes))
+
+
 def lexical_tokens(c: Column, n: int = 4) -> Column:
     """One bag of all character ``n``-grams (spaces included) and the words."""
-    words = F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")
-    return F.concat(char_grams(c, n), words)
+    return F.concat(gram_bag(c, n), F.filter(F.split(c, r"(?U)\s+"), lambda w: w != ""))
+
+
+def lexical_length(c: Column, n: int = 4) -> Column:
+    """The size of ``lexical_tokens`` without making them."""
+    return F.greatest(F.length(c) - (n - 1), F.lit(0)) + F.regexp_count(c, F.lit(r"(?U)\S+"))
 
 
 def gram_set(c: Column, n: int = 3, keep: str = "a-zāīūṛṝḷḹṃḥśṣṭḍṇñṅ") -> Column:

@@ -12,6 +12,9 @@ from ..functions import text as X
 #: Values of a query block that go to every task (numbers of 8 bytes).
 BLOCK_VALUES = 4_000_000
 
+#: Rows (query, token) of a query set that may be broadcast, about 50 bytes each.
+BROADCAST_ROWS = 1_000_000
+
 
 def units(cards: DataFrame, fields: list[str], questions: str, id_col: str = "doc_id") -> DataFrame:
     """(id, unit, text): title-like fields and each question as a unit; empty ones go."""
@@ -31,25 +34,36 @@ def postings(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
     return docs.select(id_col, F.explode(tokens).alias("token")).groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def _bounded(side: DataFrame, rows: int) -> DataFrame:
+    """``side`` to be broadcast if ``rows`` are few enough; otherwise the join shuffles."""
+    return F.broadcast(side) if rows <= BROADCAST_ROWS else side
+
+
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 30, n: int = 4, k1: float = 1.5, b: float = 0.75, floor: float = 0.25) -> DataFrame:
     """(query_id, doc_id, score, rank) for ``docs`` (doc_id, text) and ``queries`` (query_id, text).
 
-    Only tokens that some query has are counted beyond their row: a document's
-    other tokens give its length, which is arithmetic. A repeated query token
+    Documents are dealt by id once, so that a document's tokens are counted, and
+    its scores summed, where its text is. Only the vocabulary with its document
+    frequencies, combined first, is shuffled beside them. Tokens that no query has
+    end before they are counted; the length is arithmetic. A repeated query token
     counts repeatedly. A negative idf becomes ``floor`` times the mean idf.
     """
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", X.lexical_tokens(F.col("text"), n).alias("tokens"))
-    length = docs.select("doc_id", F.size("tokens").alias("dl"))
-    whole = length.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-    asked = postings(queries.select("query_id", F.coalesce("text", F.lit("")).alias("text")), "query_id", X.lexical_tokens(F.col("text"), n)).withColumnRenamed("tf", "qf")
-    tf = docs.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("token")).groupBy("doc_id", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    bag = X.lexical_tokens(F.col("text"), n)
+    # tokens are ten times their text: the partitions are stated, so that none are merged for its size
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the length is taken before the exchange: beside explode it would be taken again for every token
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("dl", X.lexical_length(F.col("text"), n)).repartition(parts, "doc_id")
+    asked = postings(queries.select("query_id", F.coalesce("text", F.lit("")).alias("text")), "query_id", bag).withColumnRenamed("tf", "qf")
+    rows = asked.count()
+    whole = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+    df = docs.select(F.explode(F.array_distinct(bag)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     idf = df.join(F.broadcast(whole)).select("token", "avgdl", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
     mean = idf.agg(F.avg("idf").alias("mean"))
-    idf = idf.join(asked.select("token").distinct(), "token", "left_semi").join(F.broadcast(mean)).select("token", "avgdl", F.when(F.col("idf") < 0, floor * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
-    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = tf.join(idf, "token").select("doc_id", "token", weight.alias("w"))
-    score = scored.join(asked, "token").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("qf")), 6).alias("score"))
+    plan = idf.join(_bounded(asked, rows), "token").join(F.broadcast(mean)).withColumn("idf", F.when(F.col("idf") < 0, floor * F.col("mean")).otherwise(F.col("idf")))
+    wanted = asked.select("token").distinct()
+    tf = docs.select("doc_id", "dl", F.explode(bag).alias("token")).join(_bounded(wanted, rows), "token", "left_semi").groupBy("doc_id", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
+    weight = F.col("qf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    score = tf.join(_bounded(plan, rows), "token").groupBy("query_id", "doc_id").agg(F.round(F.sum(weight), 6).alias("score"))
     return top(score, k)
 
 

@@ -83,9 +83,38 @@ def test_context(spark, n, anchored, want):
 
 
 def test_scalars(spark):
-    assert one(spark, "abcde fg", X.lexical_tokens) == ["abcd", "bcde", "cde ", "de f", "e fg", "abcde", "fg"]
+    assert sorted(one(spark, "abcde fg", X.lexical_tokens)) == sorted(["abcd", "bcde", "cde ", "de f", "e fg", "abcde", "fg"])
     assert one(spark, "abc", X.lexical_tokens) == ["abc"] and one(spark, "abcd", X.lexical_tokens) == ["abcd", "abcd"]
     assert one(spark, "క్షీ😀x", lambda c: X.char_grams(c, 4)) == ["క్షీ", "్షీ😀", "షీ😀x"]
+    assert sorted(one(spark, "క్షీ😀x\ny", lambda c: X.gram_bag(c, 4))) == sorted(one(spark, "క్షీ😀x\ny", lambda c: X.char_grams(c, 4)))
+    for text in ("", "abc", "a b\u2003c 😀😀😀😀 d", "  x  "):
+        assert one(spark, text, X.lexical_length) == len(one(spark, text, X.lexical_tokens))
+
+
+def test_bm25_against_brute_force(spark, monkeypatch):
+    import math
+    from collections import Counter
+
+    docs = [(1, "the sun and the moon"), (2, "the sun is hot"), (3, "rain on the hill"), (4, None), (5, "the sun is hot"), (6, "")]
+    asked = [(1, "sun moon"), (2, "the the rain"), (3, None), (4, "zzzz")]
+    bag = lambda t: Counter([(t or "")[i : i + 4] for i in range(len(t or "") - 3)] + (t or "").split())
+    bags = {i: bag(t) for i, t in docs}
+    dfs = Counter(t for b in bags.values() for t in b)
+    avg = sum(b.total() for b in bags.values()) / len(docs)
+    idf = {t: math.log(len(docs) - c + 0.5) - math.log(c + 0.5) for t, c in dfs.items()}
+    mean = sum(idf.values()) / len(idf)
+    want = {}
+    for q, text in asked:
+        for i, b in bags.items():
+            hit = [(t, c) for t, c in bag(text).items() if t in b]
+            if hit:
+                want[q, i] = sum(c * (idf[t] if idf[t] >= 0 else 0.25 * mean) * b[t] * 2.5 / (b[t] + 1.5 * (0.25 + 0.75 * b.total() / avg)) for t, c in hit)
+    d, a = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(asked, "query_id long, text string")
+    for bound in (10**6, 0):
+        monkeypatch.setattr(retrieve, "BROADCAST_ROWS", bound)
+        got = {(r["query_id"], r["doc_id"]): r for r in retrieve.bm25_topk(d, a, 10).collect()}
+        assert {k: r["score"] for k, r in got.items()} == pytest.approx(want, abs=1e-5)
+        assert got[2, 3]["rank"] == 1 and got[1, 2]["score"] == got[1, 5]["score"] and got[1, 2]["rank"] < got[1, 5]["rank"]
     assert one(spark, "१೦౨", X.number) == 102 and one(spark, "x", X.number) is None
     assert one(spark, "XLIV", X.roman) == 44 and one(spark, "MCMXC", X.roman) == 1990 and one(spark, "ABC", X.roman) is None
     assert one(spark, "एकाशीतितमोऽध्यायः", X.ordinal) == 81 and one(spark, "सप्तमोऽध्यायः", X.ordinal) == 7
