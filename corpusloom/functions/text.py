@@ -58,10 +58,13 @@ def squash(c: Column) -> Column:
     return F.regexp_replace(c, "[\\s।॥|.,;:!?\\-‌‍]+", "")
 
 
-def quoted_in(passage: Column, quote: Column, least: int = 8) -> Column:
-    """Whether the squashed quote of at least ``least`` characters is in the squashed passage."""
+def quoted_in(passage: Column, quote: Column, least: int = 8, squashed: bool = False) -> Column:
+    """Whether the squashed quote of at least ``least`` characters is in the squashed passage.
+
+    A passage that meets many quotes is better squashed once, before the join: say so by ``squashed``.
+    """
     q = squash(quote)
-    return F.coalesce((F.length(q) >= least) & F.contains(squash(passage), q), F.lit(False))
+    return F.coalesce((F.length(q) >= least) & F.contains(passage if squashed else squash(passage), q), F.lit(False))
 
 
 def script(c: Column, native: str = r"[ఀ-౿]") -> Column:

@@ -410,8 +410,8 @@ SELECT doc_id, pos, CASE WHEN given IS NULL THEN 'not in retrieved chapters' WHE
 def verbatim_verify(spark, sf_dir):
     d = _t(spark, sf_dir, "documents")
     c = d.where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "quote")).select("doc_id", (F.col("pos") + 1).cast("bigint").alias("pos"), "quote")
-    met = c.withColumn("cited", F.col("doc_id") + F.col("pos") % 2).join(d.select(F.col("doc_id").alias("given"), F.coalesce("text", F.lit("")).alias("p")), F.col("cited") == F.col("given"), "left")
-    status = F.when(F.col("given").isNull(), "not in retrieved chapters").when(X.quoted_in(F.col("p"), F.col("quote")), "verified").otherwise("not verbatim")
+    met = c.withColumn("cited", F.col("doc_id") + F.col("pos") % 2).join(d.select(F.col("doc_id").alias("given"), X.squash(F.coalesce("text", F.lit(""))).alias("p")), F.col("cited") == F.col("given"), "left")
+    status = F.when(F.col("given").isNull(), "not in retrieved chapters").when(X.quoted_in(F.col("p"), F.col("quote"), squashed=True), "verified").otherwise("not verbatim")
     return met.select("doc_id", "pos", status.alias("status"))
 
 
