@@ -1,7 +1,10 @@
-"""Substring dedup by hashing of lines and the sentences in them.
+"""Substring dedup by hashing of lines, the sentences in them, and the phrases in those.
 
-Units are sentences, which also end where a line ends; a sentence of fewer
-than ``MIN_UNIT`` words belongs to the one after it on its line. Units are
+Units are phrases, which end with their sentence or line, and also after a word that
+with the word before it has a digest divisible by ``PHRASE``. Where a phrase ends so
+depends on the words there alone: a passage that begins or ends in mid-sentence, or a
+long sentence with one word changed, has the same phrases a few words further on. No
+phrase ends so within ``MIN_UNIT`` words of its sentence's end. A phrase of fewer than ``MIN_UNIT`` words belongs to the one after it on its line. Units are
 compared by a digest of their words, A-Z lower-cased, white space apart. Of equal
 units, the earliest by (doc_id, position) stays; a null id comes last. Other
 occurrences go where at least ``min_words`` words of such units stand in a row, so
@@ -35,6 +38,9 @@ from ._shared import Scratch
 
 MIN_UNIT = 4
 
+#: One word pair in so many ends a phrase.
+PHRASE = 6
+
 _STOP = np.zeros(256, bool)
 _STOP[[33, 46, 63]] = True
 _FACTOR = np.uint64(0xD6E8FEB86659FD93)
@@ -53,7 +59,14 @@ class Units:
         feeds = np.concatenate([[0], np.cumsum(buf == 10)])
         hard = np.ones(n, bool)  # the line or the document ends after this word
         hard[:-1] = (words.doc[1:] != words.doc[:-1]) | (feeds[words.start[1:]] > feeds[words.end[:-1]])
-        stop = np.flatnonzero(hard | _STOP[buf[words.end - 1]])
+        h = words.hashes(lower=True)
+        pause = np.zeros(n, bool)
+        pause[1:] = _arrow.mix(h[:-1] * _FACTOR + h[1:]) % np.uint64(PHRASE) == 0
+        sentence = hard | _STOP[buf[words.end - 1]]
+        pause[1:] &= ~sentence[:-1]  # the word before must be of the same sentence, so of the same document
+        for d in range(1, min(MIN_UNIT, n)):  # the end of a sentence is no phrase of its own: it would join the next sentence
+            pause[:-d] &= ~sentence[d:]
+        stop = np.flatnonzero(sentence | pause)
         length = np.diff(np.concatenate([[-1], stop]))
         last = stop[hard[stop] | (length >= MIN_UNIT)]
         first = np.concatenate([[0], last[:-1] + 1])
@@ -63,7 +76,7 @@ class Units:
         # hashed by distance from the unit's end: the factors are bounded by the longest unit
         back = np.repeat(last, self.size) - np.arange(n)
         power = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(int(self.size.max()), _FACTOR)]))
-        self.digest = _arrow.mix(np.add.reduceat(words.hashes(lower=True) * power[back], first) + self.size.astype(np.uint64))
+        self.digest = _arrow.mix(np.add.reduceat(h * power[back], first) + self.size.astype(np.uint64))
         begin = np.searchsorted(self.doc, np.arange(self.docs))
         self.pos = np.arange(len(self.doc)) - begin[self.doc]
 

@@ -365,6 +365,19 @@ def test_a_planted_passage(spark):
     assert all(got[i]["n_removed"] == 0 and got[i]["text"] == rows[i][1] for i in (0, 2, 4, 6))
 
 
+def test_a_passage_spliced_into_sentences(spark):
+    """55 words around one short sentence, in the middle of other sentences."""
+    rng = np.random.default_rng(5)
+    some = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**9, n))
+    passages = [f"{some(20)}. {some(15)}. {some(20)}" for _ in range(20)]
+    rows = [(2 * k + i, f"{some(30)}. {some(12)} {p} {some(12)}. {some(30)}.") for k, p in enumerate(passages) for i in range(2)]
+    got = {r["doc_id"]: r for r in substring.drop_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    gone = [len(set(words(p)) - set(words(got[2 * k + 1]["text"]))) for k, p in enumerate(passages)]
+    assert all(got[2 * k]["text"] == rows[2 * k][1] for k in range(20))
+    assert min(gone) >= 20 and np.mean(gone) > 38
+    assert all(set(words(rows[2 * k + 1][1])) - set(words(p)) <= set(words(got[2 * k + 1]["text"])) for k, p in enumerate(passages))
+
+
 def test_substring_dedup_of_odd_rows(odd):
     got = Counter((r["doc_id"], r["n_removed"] > 0) for r in substring.drop_repeats(odd).collect())
     assert got[(1, False)] == 1 and got[(5, True)] == 1 and sum(got.values()) == odd.count()
