@@ -8,8 +8,11 @@ phrase ends so within ``MIN_UNIT`` words of its sentence's end. A phrase of fewe
 compared by a digest of their words, A-Z lower-cased, white space apart. Of equal
 units, the earliest by (doc_id, position) stays; a null id comes last. Other
 occurrences go where at least ``min_words`` words of such units stand in a row, so
-that a short formula shared by clean documents stays. Removed ranges are given
-as code-point offsets of the original text.
+that a short formula shared by clean documents stays. A unit of one word, such as
+a line of its own, is a unit like any other. Scripts written without spaces have each
+of their code points as a word, of which two (or four, of alphabetic scripts) count
+as one towards ``min_words``. Removed ranges are given as code-point offsets of the
+original text.
 
 The earliest occurrence of each digest is an aggregation combined before the
 shuffle; digests that occur once end there. The others meet their units again in
@@ -45,15 +48,40 @@ _STOP = np.zeros(256, bool)
 _STOP[[33, 46, 63]] = True
 _FACTOR = np.uint64(0xD6E8FEB86659FD93)
 
+#: Quarter words that a code point counts from here on; 0 where words have spaces.
+_SCRIPTS = np.array(
+    [(0, 0), (0x0E00, 1), (0x10A0, 0), (0x1780, 1), (0x1800, 0), (0x1950, 1), (0x1A00, 0), (0x1A20, 1), (0x1AB0, 0), (0x2E80, 2), (0x3130, 0), (0x3190, 2), (0xA4D0, 0), (0xA9E0, 1), (0xAA00, 0), (0xAA60, 1), (0xAAE0, 0), (0xF900, 2), (0xFB00, 0), (0xFF01, 2), (0xFFA0, 0), (0x20000, 2), (0x40000, 0)]
+)
+
+
+def _spaceless(words: _arrow.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and quarter words of each word, code points of scripts without spaces apart."""
+    buf, start, end = words.buf, words.start, words.end
+    lead = np.flatnonzero(buf >= 0xE0)
+    wide = np.where(buf[lead] >= 0xF0, 4, 3)
+    byte = [buf[lead + k].astype(np.int64) & 63 for k in range(3)]
+    point = np.where(wide == 3, (byte[0] & 15) << 12 | byte[1] << 6 | byte[2], (byte[0] & 7) << 18 | byte[1] << 12 | byte[2] << 6)
+    quarters = _SCRIPTS[np.searchsorted(_SCRIPTS[:, 0], point, "right") - 1, 1]
+    lead, wide, quarters = lead[quarters > 0], wide[quarters > 0], quarters[quarters > 0]
+    if not len(lead):
+        return start, end, np.full(len(start), 4)
+    start = np.union1d(start, np.concatenate([lead, (after := lead + wide)[np.append(words.ink, False)[after]]]))
+    end = np.union1d(end, np.concatenate([after, lead[(lead > 0) & words.ink[lead - 1]]]))
+    size = np.full(len(start), 4)
+    size[np.searchsorted(start, lead)] = quarters
+    return start, end, size
+
 
 class Units:
-    """Units of all documents: document, number in it, words, digest, byte range."""
+    """Units of all documents: document, number in it, words and their quarters, digest, byte range."""
 
     def __init__(self, buf: np.ndarray, off: np.ndarray):
         words = _arrow.Words(buf, off)
+        words.start, words.end, quarters = _spaceless(words)
+        words.doc = np.searchsorted(off, words.start, "right") - 1
         self.docs, n = words.docs, len(words.start)
         if not n:
-            self.doc = self.pos = self.size = self.start = self.end = np.zeros(0, np.int64)
+            self.doc = self.pos = self.size = self.quarters = self.start = self.end = np.zeros(0, np.int64)
             self.digest, self.fresh = np.zeros(0, np.uint64), np.zeros(0, bool)
             return
         feeds = np.concatenate([[0], np.cumsum(buf == 10)])
@@ -71,6 +99,7 @@ class Units:
         last = stop[hard[stop] | (length >= MIN_UNIT)]
         first = np.concatenate([[0], last[:-1] + 1])
         self.doc, self.size = words.doc[first], last - first + 1
+        self.quarters = np.add.reduceat(quarters, first)
         self.start, self.end = words.start[first], words.end[last]
         self.fresh = np.concatenate([[True], hard[last[:-1]]])  # begins a line
         # hashed by distance from the unit's end: the factors are bounded by the longest unit
@@ -82,14 +111,13 @@ class Units:
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, digest) of every unit of two words or more."""
+    """(doc_id, pos, digest) of every unit."""
 
     def run(batches):
         for batch in batches:
             for first, end, buf, off in _arrow.chunks(batch.column(1)):
                 u = Units(buf, off)
-                use = np.flatnonzero(u.size > 1)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first).take(pa.array(u.doc[use])), pa.array(u.pos[use].astype(np.int32)), pa.array(u.digest[use].astype(np.int64))], ["doc_id", "pos", "digest"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first).take(pa.array(u.doc)), pa.array(u.pos.astype(np.int32)), pa.array(u.digest.astype(np.int64))], ["doc_id", "pos", "digest"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_arrow.tidy(run), "doc_id bigint, pos int, digest bigint")
 
@@ -114,7 +142,7 @@ def _cut(u: Units, i: int, later: set, buf: np.ndarray, off: np.ndarray, min_wor
         e = j
         while e + 1 < len(hit) and hit[e + 1] == hit[e] + 1:
             e += 1
-        if u.size[hit[j] : hit[e] + 1].sum() >= min_words:
+        if u.quarters[hit[j] : hit[e] + 1].sum() >= 4 * min_words:
             start, end = int(u.start[hit[j]]), int(u.end[hit[e]])
             after = int(u.start[hit[e] + 1]) if hit[e] + 1 < b else int(off[i + 1])
             # the line break after a range stays, unless the range has its lines to itself

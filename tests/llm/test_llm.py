@@ -378,6 +378,22 @@ def test_a_passage_spliced_into_sentences(spark):
     assert all(set(words(rows[2 * k + 1][1])) - set(words(p)) <= set(words(got[2 * k + 1]["text"])) for k, p in enumerate(passages))
 
 
+def test_a_passage_with_lines_of_one_word(spark):
+    """Lines of 12 words with one-word lines between, a word a line, and a script without spaces."""
+    rng = np.random.default_rng(7)
+    some = lambda n, by=" ": by.join(f"w{x}" for x in rng.integers(0, 10**9, n))
+    han = lambda n: "".join(chr(x) for x in rng.integers(0x4E00, 0x9FA6, n))
+    thai = lambda n: "".join(chr(x) for x in rng.integers(0xE01, 0xE2F, n))
+    passages = ["\n".join(f"{some(12)}\n{h}" for h in ("ANNA:", "*", "----", "IV", "BEN:")), some(30, "\n"), han(120), thai(160)]
+    formulas = ["\n".join(["ANNA:", some(8), "*", some(8), "--"]), some(19, "\n"), han(39), thai(79)]
+    rows = [(10 * k + i, f"{some(30)}.\n{p}\n{some(30)}.") for k, p in enumerate(passages + formulas) for i in range(3)]
+    got = {r["doc_id"]: r for r in substring.drop_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for i, text in rows:
+        k, later = divmod(i, 10)
+        gone = k < len(passages) and later > 0
+        assert got[i]["n_removed"] == gone and got[i]["text"] == (text.replace(passages[k] + "\n", "") if gone else text)
+
+
 def test_substring_dedup_of_odd_rows(odd):
     got = Counter((r["doc_id"], r["n_removed"] > 0) for r in substring.drop_repeats(odd).collect())
     assert got[(1, False)] == 1 and got[(5, True)] == 1 and sum(got.values()) == odd.count()
