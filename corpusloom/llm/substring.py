@@ -1,11 +1,15 @@
 """Substring dedup by hashing of lines, the sentences in them, and the phrases in those.
 
-Units are phrases, which end with their sentence or line, and also after a word that
-with the word before it has a digest divisible by ``PHRASE``. Where a phrase ends so
-depends on the words there alone: a passage that begins or ends in mid-sentence, or a
-long sentence with one word changed, has the same phrases a few words further on. No
-phrase ends so within ``MIN_UNIT`` words of its sentence's end. A phrase of fewer than ``MIN_UNIT`` words belongs to the one after it on its line. Units are
-compared by a digest of their words, A-Z lower-cased, white space apart. Of equal
+Units are phrases, which end with their sentence or line, and also after the word that
+with the word before it has the least digest of ``REACH`` words in a row. Where a phrase
+ends so depends on the ``REACH`` words before and after it alone, and some phrase ends in
+any ``REACH`` words: a passage that begins or ends in mid-sentence, or a long sentence
+with one word changed, has the same phrases from ``REACH`` words further on at the
+latest, so of a repeated passage of ``min_words`` + 2 * ``REACH`` + 1 words at least
+``min_words`` go. Units are
+compared by a digest of their words, A-Z lower-cased, white space apart; those of fewer
+than ``SHORT`` words with the words before them, ``AROUND`` in all, so that a column of
+figures is no repeat because each of them occurs elsewhere. Of equal
 units, the earliest by (doc_id, position) stays; a null id comes last. Other
 occurrences go where at least ``min_words`` words of such units stand in a row, so
 that a short formula shared by clean documents stays. A unit of one word, such as
@@ -39,10 +43,11 @@ from pyspark.sql import types as T
 from . import _arrow
 from ._shared import Scratch
 
-MIN_UNIT = 4
+#: Words in a row of which one ends a phrase.
+REACH = 12
 
-#: One word pair in so many ends a phrase.
-PHRASE = 6
+#: Units of fewer words are compared with the words before them, so many in all.
+SHORT, AROUND = 4, 8
 
 _STOP = np.zeros(256, bool)
 _STOP[[33, 46, 63]] = True
@@ -72,6 +77,16 @@ def _spaceless(words: _arrow.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return start, end, size
 
 
+def _slide(best: np.ufunc, values: np.ndarray) -> np.ndarray:
+    """The least or greatest of every ``REACH`` values in a row."""
+    size = 1
+    while size < REACH:
+        step = min(size, REACH - size)
+        values = best(values[:-step], values[step:])
+        size += step
+    return values
+
+
 class Units:
     """Units of all documents: document, number in it, words and their quarters, digest, byte range."""
 
@@ -88,15 +103,14 @@ class Units:
         hard = np.ones(n, bool)  # the line or the document ends after this word
         hard[:-1] = (words.doc[1:] != words.doc[:-1]) | (feeds[words.start[1:]] > feeds[words.end[:-1]])
         h = words.hashes(lower=True)
-        pause = np.zeros(n, bool)
-        pause[1:] = _arrow.mix(h[:-1] * _FACTOR + h[1:]) % np.uint64(PHRASE) == 0
         sentence = hard | _STOP[buf[words.end - 1]]
-        pause[1:] &= ~sentence[:-1]  # the word before must be of the same sentence, so of the same document
-        for d in range(1, min(MIN_UNIT, n)):  # the end of a sentence is no phrase of its own: it would join the next sentence
-            pause[:-d] &= ~sentence[d:]
-        stop = np.flatnonzero(sentence | pause)
-        length = np.diff(np.concatenate([[-1], stop]))
-        last = stop[hard[stop] | (length >= MIN_UNIT)]
+        pair = np.full(n, ~np.uint64(0))
+        pair[1:] = _arrow.mix(h[:-1] * _FACTOR + h[1:]) | np.uint64(1)
+        pair[1:][sentence[:-1]] = ~np.uint64(0)  # the word before must be of the same sentence, so of the same document
+        pair[sentence] = 0  # least of any window: none reaches past the end of a sentence or a document
+        edge = np.zeros(REACH - 1, np.uint64)
+        least = _slide(np.minimum, np.concatenate([edge, pair, edge]))
+        last = np.flatnonzero(pair == _slide(np.maximum, least))  # the least of some window that it is in
         first = np.concatenate([[0], last[:-1] + 1])
         self.doc, self.size = words.doc[first], last - first + 1
         self.quarters = np.add.reduceat(quarters, first)
@@ -105,7 +119,14 @@ class Units:
         # hashed by distance from the unit's end: the factors are bounded by the longest unit
         back = np.repeat(last, self.size) - np.arange(n)
         power = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(int(self.size.max()), _FACTOR)]))
-        self.digest = _arrow.mix(np.add.reduceat(h * power[back], first) + self.size.astype(np.uint64))
+        total = np.add.reduceat(h * power[back], first) + self.size.astype(np.uint64)
+        short = np.flatnonzero(self.size < SHORT)
+        at, around = last[short], np.zeros(len(short), np.uint64)
+        for k in range(AROUND - 1, -1, -1):
+            inside = words.doc[np.maximum(at - k, 0)] == words.doc[at]
+            around = _arrow.mix(around * _FACTOR + np.where(inside & (at >= k), h[np.maximum(at - k, 0)], np.uint64(0)))
+        total[short] += around
+        self.digest = _arrow.mix(total)
         begin = np.searchsorted(self.doc, np.arange(self.docs))
         self.pos = np.arange(len(self.doc)) - begin[self.doc]
 

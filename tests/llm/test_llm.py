@@ -378,8 +378,21 @@ def test_a_passage_spliced_into_sentences(spark):
     assert all(set(words(rows[2 * k + 1][1])) - set(words(p)) <= set(words(got[2 * k + 1]["text"])) for k, p in enumerate(passages))
 
 
+def test_passages_of_51_words_without_a_sentence_end(spark):
+    rng = np.random.default_rng(11)
+    some = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**9, n))
+    passages = [some(51) for _ in range(1500)]
+    rows = [(2 * k + i, f"{some(30)}. {some(12)} {p} {some(12)}. {some(30)}.") for k, p in enumerate(passages) for i in range(2)]
+    got = {r["doc_id"]: r for r in substring.drop_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for k, p in enumerate(passages):
+        assert got[2 * k]["text"] == rows[2 * k][1]
+        kept, whole = words(got[2 * k + 1]["text"]), words(rows[2 * k + 1][1])
+        assert len(whole) - len(kept) >= 51 - 2 * substring.REACH - 1 >= 20
+        assert set(whole) - set(words(p)) <= set(kept)
+
+
 def test_a_passage_with_lines_of_one_word(spark):
-    """Lines of 12 words with one-word lines between, a word a line, and a script without spaces."""
+    """Lines of 12 words with one-word lines between, a word a line, and a script without spaces; columns of figures stay."""
     rng = np.random.default_rng(7)
     some = lambda n, by=" ": by.join(f"w{x}" for x in rng.integers(0, 10**9, n))
     han = lambda n: "".join(chr(x) for x in rng.integers(0x4E00, 0x9FA6, n))
@@ -387,11 +400,16 @@ def test_a_passage_with_lines_of_one_word(spark):
     passages = ["\n".join(f"{some(12)}\n{h}" for h in ("ANNA:", "*", "----", "IV", "BEN:")), some(30, "\n"), han(120), thai(160)]
     formulas = ["\n".join(["ANNA:", some(8), "*", some(8), "--"]), some(19, "\n"), han(39), thai(79)]
     rows = [(10 * k + i, f"{some(30)}.\n{p}\n{some(30)}.") for k, p in enumerate(passages + formulas) for i in range(3)]
+    rows += [(10 * k + 3, "\n".join(str(x) for x in rng.integers(0, 10, 25))) for k in range(20)]
     got = {r["doc_id"]: r for r in substring.drop_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     for i, text in rows:
         k, later = divmod(i, 10)
-        gone = k < len(passages) and later > 0
-        assert got[i]["n_removed"] == gone and got[i]["text"] == (text.replace(passages[k] + "\n", "") if gone else text)
+        gone = k < len(passages) and later in (1, 2)
+        assert got[i]["n_removed"] == gone
+        edge = {1: "\n".join(passages[1].split()[: substring.AROUND - 1]) + "\n"}.get(k, "")
+        left, right = (text.split(passages[k])[0], text.split(passages[k])[1][1:]) if gone else (text, "")
+        assert got[i]["text"].startswith(left) and got[i]["text"].endswith(right)
+        assert len(got[i]["text"]) <= len(left + edge + right) + 12 * gone * (k > 1)
 
 
 def test_substring_dedup_of_odd_rows(odd):
