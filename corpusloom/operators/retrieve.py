@@ -73,12 +73,13 @@ def top(score: DataFrame, k: int, *ties: str) -> DataFrame:
     return score.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def similarities(units: DataFrame, queries: DataFrame, keep: int, same_work: bool | None = None) -> DataFrame:
+def similarities(units: DataFrame, queries: DataFrame, keep: int, same_work: bool | None = None, mask: bool = False) -> DataFrame:
     """(query_id, unit_id, doc_id, score): for each query its best ``keep`` units of every task.
 
     Inner products by matrix multiplication of a task's rows with blocks of
     queries. A query set is stated, and taken in blocks of bounded size. With
-    ``same_work`` True, units of another work than the query's are left out.
+    ``same_work`` True, units of another work than the query's are left out; with
+    ``mask`` they score -1, before any is cut off.
     """
     rows = queries.select("query_id", F.col("work").cast("string").alias("work"), "embedding").orderBy("query_id")
     width = rows.select(F.size("embedding").alias("n")).head()
@@ -104,7 +105,8 @@ def similarities(units: DataFrame, queries: DataFrame, keep: int, same_work: boo
                 docs.update(zip(unit.tolist(), batch.column("doc_id").to_pylist(), strict=True))
                 for i in range(len(ids)):
                     ok = np.flatnonzero(work == works[i]) if same_work else np.arange(len(unit))
-                    both = np.concatenate([held[i], np.stack([score[i, ok], unit[ok]], axis=1)])
+                    own = np.where(work == works[i], score[i], -1.0) if mask else score[i]
+                    both = np.concatenate([held[i], np.stack([own[ok], unit[ok]], axis=1)])
                     held[i] = both[np.lexsort((both[:, 1], -both[:, 0]))[:keep]]
                 used = {int(u) for h in held for u in h[:, 1]}
                 docs = {u: d for u, d in docs.items() if u in used}
@@ -120,9 +122,9 @@ def similarities(units: DataFrame, queries: DataFrame, keep: int, same_work: boo
     return out
 
 
-def dense_topk(units: DataFrame, queries: DataFrame, pool: int = 30, scan: int = 240, same_work: bool | None = None) -> DataFrame:
+def dense_topk(units: DataFrame, queries: DataFrame, pool: int = 30, scan: int = 240, same_work: bool | None = None, mask: bool = False) -> DataFrame:
     """(query_id, doc_id, score, unit_id, rank): the best distinct documents among each query's best ``scan`` units."""
-    best = top(similarities(units, queries, scan, same_work), scan, "unit_id").drop("rank")
+    best = top(similarities(units, queries, scan, same_work, mask), scan, "unit_id").drop("rank")
     folded = best.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"), F.min_by("unit_id", F.struct(-F.col("score"), F.col("unit_id"))).alias("unit_id"))
     return top(folded, pool)
 

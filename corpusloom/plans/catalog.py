@@ -342,6 +342,13 @@ def dense_topk_masked(spark, sf_dir):
     return retrieve.masked(met, F.col("work") == F.col("hint"), 30).select("query_id", "doc_id", "score", "rank")
 
 
+@query(_SIM + """, m AS (SELECT query_id, vec_id, CASE WHEN label = qwork THEN score ELSE -1.0 END AS score FROM s),
+     c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM m)
+SELECT query_id, vec_id::VARCHAR AS doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id::VARCHAR) AS rank FROM c WHERE r <= 240) WHERE rank <= 30""")
+def dense_topk_masked_first(spark, sf_dir):
+    return retrieve.dense_topk(_units(spark, sf_dir), _asked(spark, sf_dir), mask=True).select("query_id", "doc_id", "score", "rank")
+
+
 @query(_SIM + "SELECT query_id, label::VARCHAR AS doc_id, max(score) AS score, arg_min(vec_id, (-score, vec_id)) AS unit_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 240 GROUP BY 1, 2")
 def max_over_units(spark, sf_dir):
     units = _units(spark, sf_dir).withColumn("doc_id", F.col("work"))

@@ -130,6 +130,21 @@ def test_quotes(spark, text, quote, ok):
     assert df.select(X.quoted_in(F.col("t"), F.col("q")).alias("x")).head()["x"] is ok
 
 
+def test_a_mask_comes_before_the_cut(spark):
+    """Documents of the hinted work beyond the best 240 of all works fill the list before any of another work."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    vec, work, ask = np.round(rng.normal(size=(600, 8)), 3), rng.integers(0, 10, 600), np.round(rng.normal(size=(3, 8)), 3)
+    units = spark.createDataFrame([(i, str(i), str(w), v.tolist()) for i, (w, v) in enumerate(zip(work, vec, strict=True))], "unit_id long, doc_id string, work string, embedding array<double>")
+    queries = spark.createDataFrame([(q, str(q), v.tolist()) for q, v in enumerate(ask)], "query_id long, work string, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): (r["doc_id"], r["score"]) for r in retrieve.dense_topk(units, queries, mask=True).collect()}
+    for q in range(3):
+        score = np.where(work == q, np.round(ask[q] @ vec.T, 6) + 0.0, -1.0)
+        order = sorted(sorted(range(600), key=lambda i: (-score[i], i))[:240], key=lambda i: (-score[i], str(i)))
+        assert [got[q, r + 1] for r in range(30)] == [(str(i), score[i]) for i in order[:30]]
+
+
 @pytest.mark.parametrize(("dense", "lexical", "want"), [("AB", "BC", "BAC"), ("A", "C", "AC"), ("AB", "CD", "ACBD")])
 def test_fusion_keeps_dense_first(spark, dense, lexical, want):
     side = lambda s: spark.createDataFrame([(1, d, k + 1) for k, d in enumerate(s)], "query_id bigint, doc_id string, rank int")
