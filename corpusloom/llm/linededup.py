@@ -4,17 +4,19 @@ Lines are compared by a key: the line without ``[\\x20\\x09-\\x0D]`` at both end
 A-Z lower-cased. A key found in at least ``min_docs`` documents loses all its
 lines everywhere. Keys travel as MD5 digests.
 
-A document's distinct keys are found inside its row, so the count of documents
-per key is one aggregation, combined before the shuffle: a key in every
-document costs one row a task. The digests are stored once, as they are needed
-for the count and again for the join. Frequent keys go back to their documents by a
-shuffled join, which adaptive execution splits where a key is hot; the texts
-are moved once, to meet their frequent keys.
-
-Null and empty texts are one empty line, which has no key and stays. A row is a
-document of its own: repeated rows, and rows without an id, count one each.
-Very long texts are one row's work. An empty table gives an empty result. Extra
-columns are carried by ``drop_frequent_lines`` under their own names, whatever these are.
+Each line is hashed once, with its number. Keys on fewer lines than ``min_docs``
+end at a count that is combined before the shuffle, so that a key in every
+document costs one row a task; the lines of the others are counted by document.
+The numbers of the lines that go then meet their text, in a join that adaptive
+execution splits where a key is hot. A text is put together again from the pieces
+between those lines, which takes time in proportion to its lines.
+
+Null and empty texts are one empty line, which has no key and stays. Rows of one
+id are one document, whatever their texts; rows without an id are a document for
+each distinct text. So a line repeated in one document, or in repeated rows,
+counts once. Very long texts are one row's work. An empty table gives an empty
+result. Extra columns are carried by ``drop_frequent_lines`` and
+``without_frequent_lines`` under their own names, whatever these are.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Scratch
+from ._shared import Scratch, own_key, packed
 
 BLANK = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -60,27 +62,42 @@ def _digests(text: str, min_key: int) -> Column:
     return F.transform(_lines(text), one)
 
 
-def drop_frequent_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_docs: int = 10, min_key: int = 1) -> DataFrame:
-    """``docs`` with ``text_col`` replaced, and ``n_lines`` and ``n_dropped`` added (also where ``docs`` has such names: theirs go).
-
-    What is joined back is a set of keys for each distinct (id, text): equal rows
-    have equal sets, so rows need no number of their own.
-    """
-    tag = F.struct(F.col(f"`{id_col}`").alias("i"), F.xxhash64(F.col(f"`{text_col}`")).alias("h"), F.xxhash64(F.lit(0x5EED), F.col(f"`{text_col}`")).alias("g"))
+def _dropped(docs: DataFrame, text_col: str, id_col: str, min_docs: int, min_key: int) -> DataFrame:
+    """(row, text, n_lines, stay): all other columns, the text, the number of its lines and those that stay."""
     scratch = Scratch(docs.sparkSession, "lines")
-    own = docs.select(tag.alias("d"), F.array_compact(F.array_distinct(_digests(f"`{text_col}`", min_key))).alias("ks"))
-    keys = scratch.write(own.where(F.size("ks") > 0), "keys").select("d", F.explode("ks").alias("k"))
-    # stored, so that the join has an exchange on both sides and a hot key's rows can be split
-    hot = scratch.write(keys.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("k"), "hot")
-    found = keys.join(hot, "k").groupBy("d").agg(F.collect_set("k").alias("_ld_hot"))
+    tag = own_key(id_col, text_col)
+    lines = docs.select(tag.alias("d"), F.posexplode(_digests(f"`{text_col}`", min_key)).alias("at", "k"))
+    keys = scratch.write(lines.where("k is not null"), "keys")
+    # stored, so that the joins have an exchange on both sides and a hot key's rows can be split
+    often = scratch.write(keys.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("k"), "often")
+    found = scratch.write(keys.join(often, "k"), "found")
+    scratch.drop("keys")
+    unnamed = F.when(F.col("d.i").isNull(), F.struct("d.h", "d.g"))
+    per_doc = found.select("k", F.col("d.i").alias("i"), unnamed.alias("u")).groupBy("k", "i", "u").agg(F.lit(1).alias("one"))
+    hot = scratch.write(per_doc.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("k"), "hot")
+    gone = found.join(hot, "k").groupBy("d").agg(F.array_sort(F.collect_set("at")).alias("gone"))
+    rows = docs.select(packed(docs, text_col).alias("row"), tag.alias("d"), F.col(f"`{text_col}`").alias("text"))
+    met = rows.join(gone.select(F.col("d").alias("of"), "gone"), F.col("d").eqNullSafe(F.col("of")), "left")
+    met = met.select("row", "text", "gone", _lines("text").alias("lines"))
+    first = F.concat(F.array(F.lit(0)), F.transform("gone", lambda p: p + 1))
+    end = F.concat("gone", F.array(F.size("lines")))
+    pieces = F.zip_with(first, end, lambda a, b: F.slice("lines", a + 1, b - a))
+    return met.select("row", "text", F.size("lines").cast("bigint").alias("n_lines"), F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.flatten(pieces)).alias("stay"))
+
+
+def _text() -> Column:
+    return F.when(F.col("n_lines") == F.size("stay"), F.col("text")).otherwise(F.array_join("stay", "\n"))
+
+
+def drop_frequent_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_docs: int = 10, min_key: int = 1) -> DataFrame:
+    """``docs`` with ``text_col`` replaced, and ``n_lines`` and ``n_dropped`` added (where ``docs`` has such names, theirs go)."""
+    out = _dropped(docs, text_col, id_col, min_docs, min_key)
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    rest = [c for c in kept if c != text_col]
-    rows = docs.select(F.struct(F.lit(0).alias("_ld_"), *[F.col(f"`{c}`") for c in rest]).alias("_ld_row"), tag.alias("d"), F.col(f"`{text_col}`").alias("_ld_text"))
-    met = rows.join(found.withColumnRenamed("d", "_ld_d"), F.col("d").eqNullSafe(F.col("_ld_d")), "left")
-    lines = _lines("_ld_text")
-    pairs = F.zip_with(lines, _digests("_ld_text", min_key), lambda x, k: F.struct(x.alias("line"), k.alias("key")))
-    stay = F.transform(F.filter(pairs, lambda p: p["key"].isNull() | ~F.array_contains(F.col("_ld_hot"), p["key"])), lambda p: p["line"])
-    out = met.select("_ld_row", "_ld_text", F.size(lines).cast("bigint").alias("n_lines"), F.when(F.col("_ld_hot").isNull(), lines).otherwise(stay).alias("_ld_stay"))
-    text = F.when(F.col("n_lines") == F.size("_ld_stay"), F.col("_ld_text")).otherwise(F.array_join("_ld_stay", "\n"))
-    cols = [(text if c == text_col else F.col("_ld_row")[c]).alias(c) for c in kept]
-    return out.select(*cols, "n_lines", (F.col("n_lines") - F.size("_ld_stay")).cast("bigint").alias("n_dropped"))
+    cols = [(_text() if c == text_col else F.col("row")[c]).alias(c) for c in kept]
+    return out.select(*cols, "n_lines", (F.col("n_lines") - F.size("stay")).cast("bigint").alias("n_dropped"))
+
+
+def without_frequent_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_docs: int = 10, min_key: int = 1) -> DataFrame:
+    """``docs`` with ``text_col`` replaced and no other column changed or added."""
+    out = _dropped(docs, text_col, id_col, min_docs, min_key)
+    return out.select(*[(_text() if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
