@@ -17,34 +17,44 @@ document in a thousand; those are done again with twice the horizon.
 3. In rounds, each bucket picks a leader; members that are not yet known to be in
    the leader's component are verified against it by exact multiset overlap.
    So a bucket of thousands of near copies costs a few verifications a member.
-4. Buckets that still hold several components are divided into blocks of bounded
-   size, and each pair of blocks is worked through in memory: members of
-   different components are compared, those with too few equal components of the
-   signature apart (two documents at the threshold fall under ``AGREE`` once in
-   about a million), and only links come out. So no link inside a bucket is lost, and
-   no pair ever becomes a row.
-
-Null and empty texts have no shingles and are alone in their class. Rows of the
-same id are one document. Repeated rows count in the class size. A class is
-named by its least id (null if no row has one). Very long texts are one row's
-work. An empty table gives no rows. Extra columns stay as they are in ``keep_one``.
+4. Buckets that still hold several components are divided into blocks of members,
+   bounded in number and in bytes, and each pair of blocks is worked through in
+   memory. First only signatures travel: members of different components are
+   compared by their equal components of the signature, of which two documents at
+   the threshold have fewer than ``agree`` = 46 about once in a million (0 compares
+   every pair of a bucket exactly). Members with such a partner then bring their
+   multisets, and only links come out. So no link inside a bucket is lost, and no
+   pair ever becomes a row.
+
+A document is told from another by its id and its text. So rows of one id with
+different texts are documents of their own, each in the class of its text; rows
+equal in both are one document, which counts as often as it occurs and stays or
+goes as a whole. Rows without an id are compared like any other; where no row of a
+class has an id, its name is null and the document with the least hash of its text
+stays. Null and empty texts have no shingles and are alone in their class. A
+class is named by its least id. Ties of ids go to the least hash of the text. Very
+long texts are one row's work. An empty table gives no rows. Extra columns stay as
+they are in ``keep_one``, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _arrow
-from ._shared import Scratch
+from ._shared import Scratch, own_key, packed
 from .graph import components
 
 SHINGLE, COMPONENTS, ROWS = 5, 80, 4
 ROUNDS = 2
-#: Members of a bucket that are compared in memory at once, and equal components that a pair needs.
-BLOCK, AGREE = 1024, 46
+#: Members of a bucket that are compared in memory at once, and the bytes of their multisets.
+BLOCK, BLOCK_BYTES = 1024, 32 << 20
+#: Equal components of the signature below which a pair is not verified.
+AGREE = 46
 #: Rows of a key table that may be broadcast (about 40 bytes each).
 SMALL = 500_000
 
@@ -133,9 +143,9 @@ def _node(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, docs: int) -> list
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, bands, bytes) of every row; all but the id are null without shingles.
+    """(key, node, bands, bytes, size) of every row of (key, text); all but the key are null without shingles.
 
-    ``bytes`` has eight bits of each signature component.
+    ``bytes`` has eight bits of each signature component, ``size`` is the number of shingles.
     """
 
     def run(batches):
@@ -143,17 +153,18 @@ def sketch(docs: DataFrame) -> DataFrame:
             for first, end, buf, off in _arrow.chunks(batch.column(1)):
                 n = end - first
                 doc, h, weight = multiset(*shingles(buf, off))
-                some = np.bincount(doc, minlength=n) > 0
+                size = np.bincount(doc, weight, n).astype(np.int64)
                 sig = signatures(doc, h, weight, n)
                 band = bands(sig).astype(np.int64)
                 low = _arrow.mix(sig.view(np.uint64)).astype(np.uint8)
-                node = _node(doc, h, weight, n)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, n), pa.array([x if s else None for x, s in zip(node, some, strict=True)], pa.binary()), pa.array([x if s else None for x, s in zip(band, some, strict=True)], pa.list_(pa.int64())), pa.array([x.tobytes() if s else None for x, s in zip(low, some, strict=True)], pa.binary())],
-                    ["doc_id", "node", "bands", "bytes"],
-                )
+                none = pa.array(size == 0)
+                clear = lambda x: pc.if_else(none, pa.nulls(n, x.type), x)
+                lists = pa.array([x if s else None for x, s in zip(band, size, strict=True)], pa.list_(pa.int64()))
+                cols = [clear(pa.array(_node(doc, h, weight, n), pa.binary())), lists, clear(pa.array([x.tobytes() for x in low], pa.binary())), clear(pa.array(size))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), *cols], ["key", "node", "bands", "bytes", "size"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_arrow.tidy(run), "doc_id bigint, node binary, bands array<bigint>, bytes binary")
+    kind = docs.schema["key"].dataType.simpleString()
+    return docs.select("key", "text").mapInArrow(_arrow.tidy(run), f"key {kind}, node binary, bands array<bigint>, bytes binary, size bigint")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -162,22 +173,23 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def _bags(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, bag): the sorted shingle hashes of the nodes in ``wanted`` (doc_id, node)."""
+    """(node, bag): the sorted shingle hashes of the nodes in ``wanted`` (key, node), from the rows of (key, text)."""
 
     def run(batches):
         for batch in batches:
-            want = batch.column(2).to_pylist()
-            for first, end, buf, off in _arrow.chunks(batch.column(1)):
+            want = batch.column(1).to_pylist()
+            for first, end, buf, off in _arrow.chunks(batch.column(0)):
                 n = end - first
                 doc, h, weight = multiset(*shingles(buf, off))
                 upto = np.searchsorted(doc, np.arange(n + 1))
-                node = _node(doc, h, weight, n)
-                keep = [i for i in range(n) if node[i] == want[first + i]]
-                bag = [np.repeat(h[upto[i] : upto[i + 1]], weight[upto[i] : upto[i + 1]]).tobytes() for i in keep]
-                yield pa.RecordBatch.from_arrays([pa.array([node[i] for i in keep], pa.binary()), pa.array(bag, pa.binary())], ["node", "bag"])
+                bag = [np.repeat(h[upto[i] : upto[i + 1]], weight[upto[i] : upto[i + 1]]).tobytes() for i in range(n)]
+                yield pa.RecordBatch.from_arrays([pa.array(want[first:end], pa.binary()), pa.array(bag, pa.binary())], ["node", "bag"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(_small(wanted), "doc_id")
-    return rows.select("doc_id", "text", "node").mapInArrow(_arrow.tidy(run), "node binary, bag binary")
+    # the hashes of the text are the join's key, so that rows without an id meet like any other
+    of = _small(wanted.select(F.col("key.h").alias("h"), F.col("key.g").alias("g"), F.col("key.i").alias("i"), "node"))
+    rows = docs.select(F.col("key.h").alias("th"), F.col("key.g").alias("tg"), F.col("key.i").alias("ti"), "text")
+    met = rows.join(of, (F.col("th") == F.col("h")) & (F.col("tg") == F.col("g")) & F.col("ti").eqNullSafe(F.col("i")))
+    return met.select("text", "node").mapInArrow(_arrow.tidy(run), "node binary, bag binary")
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -209,16 +221,44 @@ def verify(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     return met.select("u", "v", "a", "b").mapInArrow(_arrow.tidy(run), "u binary, v binary")
 
 
-def _block_links(table: pa.Table, threshold: float) -> list[tuple[bytes, bytes]]:
+class _Block:
+    """The members of one bucket, or of two of its blocks: which of them to compare with which."""
+
+    def __init__(self, table: pa.Table, threshold: float, agree: int):
+        n = table.num_rows
+        self.threshold, self.agree = threshold, agree
+        column = lambda c: table.column(c).combine_chunks()
+        self.band = column("bands").flatten().to_numpy().reshape(n, -1)
+        self.low = np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8).reshape(n, -1)
+        self.here = int(np.argmax(self.band[0] == column("band")[0].as_py()))
+        self.block = table.column("block").to_numpy()
+        self.across = table.column("p")[0] != table.column("q")[0]
+        self.size = table.column("size").to_numpy()
+        self.name = column("comp").dictionary_encode().indices.to_numpy()
+        self.most = int(np.argmax(np.bincount(self.name)))
+
+    def partners(self):
+        """(member, its partners) of all pairs in different components that may be at the threshold, each pair once."""
+        done = np.zeros(len(self.size), bool)
+        for i in np.flatnonzero(self.name != self.most):
+            done[i] = True
+            near = np.flatnonzero(~done & (self.name != self.name[i]) | (self.name == self.most))
+            if self.across:
+                near = near[self.block[near] != self.block[i]]
+            near = near[np.minimum(self.size[near], self.size[i]) >= self.threshold * np.maximum(self.size[near], self.size[i]) * (1 - 1e-9)]
+            equal = self.band[near] == self.band[i]
+            near = near[equal.any(axis=1) & (equal.argmax(axis=1) == self.here)]  # a pair is compared in its first bucket only
+            same = (self.low[near] == self.low[i]).sum(axis=1)
+            near = near[np.argsort(-same, kind="stable")[: int((same >= self.agree).sum())]]
+            if len(near):
+                yield i, near
+
+
+def _block_links(table: pa.Table, threshold: float, agree: int) -> list[tuple[bytes, bytes]]:
     """Links between different components among the members of one bucket, or of two of its blocks."""
-    col = {c: table.column(c).to_pylist() for c in ("band", "p", "q", "block", "node", "comp", "bag")}
-    n = table.num_rows
-    band = np.array(table.column("bands").to_pylist(), np.int64)
-    low = np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8).reshape(n, -1)
-    here = int(np.argmax(band[0] == col["band"][0]))
-    block, across = np.array(col["block"]), col["p"][0] != col["q"][0]
-    size = np.array([len(x) for x in col["bag"]])
-    parent = {c: c for c in col["comp"]}
+    block = _Block(table, threshold, agree)
+    comp, node, bags = (table.column(c).to_pylist() for c in ("comp", "node", "bag"))
+    parent = {c: c for c in comp}
 
     def root(c):
         while parent[c] != c:
@@ -230,50 +270,50 @@ def _block_links(table: pa.Table, threshold: float) -> list[tuple[bytes, bytes]]
 
     def counts(i):
         if i not in bag:
-            bag[i] = np.unique(np.frombuffer(col["bag"][i], np.uint64), return_counts=True)
+            bag[i] = np.unique(np.frombuffer(bags[i], np.uint64), return_counts=True)
         return bag[i]
 
-    names, name = np.unique(np.array([c.hex() for c in col["comp"]]), return_inverse=True)
-    most = int(np.argmax(np.bincount(name)))
-    links, done = [], np.zeros(n, bool)
-    for i in np.flatnonzero(name != most):
-        done[i] = True
-        near = np.flatnonzero(~done & (name != name[i]) | (name == most))
-        if across:
-            near = near[block[near] != block[i]]
-        near = near[np.minimum(size[near], size[i]) >= threshold * np.maximum(size[near], size[i]) * (1 - 1e-9)]
-        equal = band[near] == band[i]
-        near = near[equal.any(axis=1) & (equal.argmax(axis=1) == here)]  # a pair is compared in its first bucket only
-        agree = (low[near] == low[i]).sum(axis=1)
-        for j in near[np.argsort(-agree, kind="stable")[: int((agree >= AGREE).sum())]].tolist():
-            a, b = root(col["comp"][i]), root(col["comp"][j])
+    links = []
+    for i, near in block.partners():
+        for j in near.tolist():
+            a, b = root(comp[i]), root(comp[j])
             if a == b:
                 continue
             (ui, ci), (uj, cj) = counts(i), counts(j)
             _, x, y = np.intersect1d(ui, uj, assume_unique=True, return_indices=True)
             both = int(np.minimum(ci[x], cj[y]).sum())
-            if both >= threshold * (size[i] // 8 + size[j] // 8 - both) * (1 - 1e-9):
-                links.append((col["node"][i], col["node"][j]))
+            if both >= threshold * (int(block.size[i]) + int(block.size[j]) - both) * (1 - 1e-9):
+                links.append((node[i], node[j]))
                 parent[max(a, b)] = min(a, b)
     return links
 
 
-def _rest(mixed: DataFrame, nodes: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+def _rest(mixed: DataFrame, nodes: DataFrame, bags: DataFrame, threshold: float, agree: int, scratch: Scratch) -> DataFrame:
     """(u, v): links between components inside the buckets of ``mixed`` (band, node, comp)."""
 
+    def some(table: pa.Table) -> pa.Table:
+        keep: set = set()
+        for i, near in _Block(table, threshold, agree).partners():
+            keep.update((int(i), *near.tolist()))
+        return table.select(["band", "p", "q", "block", "node", "comp"]).take(pa.array(sorted(keep), pa.int64()))
+
     def one(table: pa.Table) -> pa.Table:
-        links = _block_links(table, threshold)
+        links = _block_links(table, threshold, agree)
         if table.num_rows > BLOCK // 2:
             _arrow.settle()
         return pa.table({"u": pa.array([a for a, _ in links], pa.binary()), "v": pa.array([b for _, b in links], pa.binary())})
 
-    blocks = mixed.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = mixed.join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    signed = nodes.select("node", "bands", "bytes", "size")
+    held = mixed.join(nodes.select("node", "size"), "node")
+    need = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") * 8 / BLOCK_BYTES)).cast("int")
+    dealt = held.select("band", "node", "comp").join(held.groupBy("band").agg(need.alias("blocks")), "band")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # each two blocks meet once, and each block meets itself
     dealt = dealt.select("band", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "comp")
-    met = dealt.join(nodes.select("node", "bands", "bytes"), "node").join(bags, "node")
-    return met.groupBy("band", "p", "q").applyInArrow(one, "u binary, v binary").distinct()
+    kind = "band bigint, p int, q int, block int, node binary, comp binary"
+    near = scratch.write(dealt.join(signed, "node").groupBy("band", "p", "q").applyInArrow(some, kind), "near")
+    return near.join(signed, "node").join(bags, "node").groupBy("band", "p", "q").applyInArrow(one, "u binary, v binary").distinct()
 
 
 def _merge(comp: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -281,53 +321,74 @@ def _merge(comp: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> Da
     cu, cv = comp.select(F.col("node").alias("u"), F.col("comp").alias("cu")), comp.select(F.col("node").alias("v"), F.col("comp").alias("cv"))
     joined = links.join(cu, "u").join(cv, "v").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
     merged = components(joined).select(F.col("node").alias("comp"), F.col("comp").alias("root"))
-    return scratch.write(comp.join(merged, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")), name)
+    return scratch.write(comp.join(_small(merged), "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")), name)
 
 
-def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(doc_id, class_id, class_size) of every row."""
-    scratch = Scratch(docs.sparkSession, "near")
+def _classed(docs: DataFrame, threshold: float, agree: int, scratch: Scratch) -> DataFrame:
+    """(key, class_id, class_size, kept) of every row of (key, text); ``kept`` says whether the class's document that stays is this one."""
     rows = scratch.write(sketch(docs), "sketch", batch=2000)
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"), F.first("bytes").alias("bytes"))
+    order = F.struct(F.col("key.i").isNull().alias("z"), F.col("key").alias("key"))
+    first = lambda c: F.first(c).alias(c)
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min(order).alias("rep"), F.count(F.lit(1)).alias("n"), first("bands"), first("bytes"), first("size"))
     nodes = scratch.write(nodes, "nodes")
 
-    band = nodes.select("node", "rep", F.explode("bands").alias("band"))
+    band = nodes.select("node", F.explode("bands").alias("band"))
     full = band.groupBy("band").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("band")
-    members = scratch.write(band.join(full, "band").select("band", "node", "rep"), "members")
-    own = members.select(F.col("rep").alias("doc_id"), "node").where("doc_id is not null").distinct()
+    members = scratch.write(band.join(full, "band").select("band", "node"), "members")
+    comp = scratch.write(members.select("node", F.col("node").alias("comp")).distinct(), "comp")
+    own = scratch.write(nodes.select("node", "rep.key").join(comp.select("node"), "node", "left_semi"), "own")
     bags = scratch.write(_bags(docs, own).dropDuplicates(["node"]), "bags", batch=1000)
 
-    comp = members.select("node", F.col("node").alias("comp")).distinct()
     for step in range(ROUNDS + 1):
-        here = members.select("band", "node").join(comp, "node")
+        here = members.join(comp, "node")
         if step:  # buckets in which some pair is not yet connected
             mixed = here.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("band")
-            here = here.join(mixed, "band")
+            here = scratch.write(here.join(mixed, "band"), f"here{step}")
+            if not here.limit(1).count():
+                break
         if step == ROUNDS:
-            links = scratch.write(_rest(here, nodes, bags, threshold), "rest", batch=500)
+            links = scratch.write(_rest(here, nodes, bags, threshold, agree, scratch), "rest", batch=500)
         else:
-            order = F.struct(F.xxhash64("node", F.lit(step)).alias("o"), F.col("node").alias("n"), F.col("comp").alias("c"))
-            lead = here.groupBy("band").agg(F.min(order).alias("lead"))
+            by = F.struct(F.xxhash64("node", F.lit(step)).alias("o"), F.col("node").alias("n"), F.col("comp").alias("c"))
+            lead = here.groupBy("band").agg(F.min(by).alias("lead"))
             pairs = here.join(lead, "band").where(F.col("comp") != F.col("lead.c")).select(F.least("node", "lead.n").alias("u"), F.greatest("node", "lead.n").alias("v"))
             pairs = scratch.write(pairs.distinct(), f"pairs{step}")
-            if not pairs.limit(1).count():
-                break  # every bucket is of one component
             links = scratch.write(verify(pairs, bags, threshold), f"links{step}", batch=500)
         if links.limit(1).count():
             comp = _merge(comp, links, scratch, f"comp{step}")
 
     named = nodes.select("node", "rep", "n").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    named = named.join(named.groupBy("comp").agg(F.min("rep").alias("class_id"), F.sum("n").alias("class_size")), "comp").select("node", "class_id", "class_size")
-    out = rows.select("doc_id", "node").join(named, "node", "left")
-    return out.select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("bigint").alias("class_size"))
+    named = named.join(named.groupBy("comp").agg(F.min("rep").alias("best"), F.sum("n").alias("class_size")), "comp").select("node", "best", "class_size")
+    met = rows.select("key", "node").join(named, "node", "left")
+    alone = F.col("node").isNull()
+    kept = alone | F.col("best.key").eqNullSafe(F.col("key"))
+    return met.select("key", F.when(alone, F.col("key.i")).otherwise(F.col("best.key.i")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("bigint").alias("class_size"), kept.alias("kept"))
+
+
+def _key(id_col: str, text_col: str) -> Column:
+    key = own_key(id_col, text_col)
+    return F.struct(key["i"].cast("bigint").alias("i"), key["h"].alias("h"), key["g"].alias("g"))
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(_key(id_col, text_col).alias("key"), F.col(f"`{text_col}`").alias("text"))
+
+
+def classes(docs: DataFrame, threshold: float = 0.8, agree: int = AGREE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, class_id, class_size) of every row."""
+    out = _classed(_keyed(docs, id_col, text_col), threshold, agree, Scratch(docs.sparkSession, "near"))
+    return out.select(F.col("key.i").alias("doc_id"), "class_id", "class_size")
 
 
-def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """``docs`` without the rows of a class other than that of its least id.
+def keep_one(docs: DataFrame, threshold: float = 0.8, agree: int = AGREE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows of a class other than those of its first document.
 
-    Only the ids that go are joined: broadcast while few, else by a shuffle.
-    Rows without an id stay.
+    Only the keys of what goes are joined: broadcast while few, else by a shuffle.
     """
     scratch = Scratch(docs.sparkSession, "one")
-    gone = scratch.write(classes(docs, threshold).where("doc_id != class_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(_small(gone), F.col("doc_id").cast("bigint") == F.col("_gone"), "left_anti")
+    out = _classed(_keyed(docs, id_col, text_col), threshold, agree, scratch)
+    gone = scratch.write(out.where("not kept").select("key").distinct(), "gone")
+    rows = docs.select(packed(docs).alias("row"), _key(id_col, text_col).alias("key")).select("row", "key.*")
+    off = gone.select(F.col("key.h").alias("gh"), F.col("key.g").alias("gg"), F.col("key.i").alias("gi"))
+    rest = rows.join(_small(off), (F.col("h") == F.col("gh")) & (F.col("g") == F.col("gg")) & F.col("i").eqNullSafe(F.col("gi")), "left_anti")
+    return rest.select(*[F.col("row")[c].alias(c) for c in docs.columns])
