@@ -1,47 +1,52 @@
-"""Substring dedup by hashing of lines, the sentences in them, and the phrases in those.
-
-Units are phrases, which end with their sentence or line, and also after the word that
-with the word before it has the least digest of ``REACH`` words in a row. Where a phrase
-ends so depends on the ``REACH`` words before and after it alone, and some phrase ends in
-any ``REACH`` words: a passage that begins or ends in mid-sentence, or a long sentence
-with one word changed, has the same phrases from ``REACH`` words further on at the
-latest, so of a repeated passage of ``min_words`` + 2 * ``REACH`` + 1 words at least
-``min_words`` go. Units are
-compared by a digest of their words, A-Z lower-cased, white space apart; those of fewer
-than ``SHORT`` words with the words before them, ``AROUND`` in all, so that a column of
-figures is no repeat because each of them occurs elsewhere. Of equal
-units, the earliest by (doc_id, position) stays; a null id comes last. Other
-occurrences go where at least ``min_words`` words of such units stand in a row, so
-that a short formula shared by clean documents stays. A unit of one word, such as
-a line of its own, is a unit like any other. Scripts written without spaces have each
-of their code points as a word, of which two (or four, of alphabetic scripts) count
-as one towards ``min_words``. Removed ranges are given as code-point offsets of the
-original text.
+"""Substring dedup by hashing of lines, paragraphs, and phrases.
+
+Units are normalised to their words (A-Z lower-cased, white space apart) and their
+digests are grouped over all documents; the earliest occurrence by (id, position)
+stays and the others go, with their code-point ranges in the original text.
+
+* ``line``: each line with a word; ``paragraph``: lines in a row between blank ones.
+  An equal line or paragraph of at least ``min_words`` words goes with its line
+  break, whole and alone. This is the method by itself, and the default, with a
+  least size of one word.
+* ``phrase``: passages repeat in the middle of lines and sentences too, where whole
+  lines would miss them. Phrases end with their sentence or line, and also after
+  the word that with the word before it has the least digest of ``REACH`` words in a
+  row. Where a phrase ends so depends on the ``REACH`` words before and after it
+  alone, and some phrase ends in any ``REACH`` words: so of a repeated passage of
+  ``min_run`` + 2 * ``REACH`` + 1 words at least ``min_run`` go. Phrases of fewer than
+  ``SHORT`` words are compared with the words before them, ``AROUND`` in all, so that
+  a column of figures is no repeat because each of them occurs elsewhere. Phrases go
+  where at least ``min_run`` words of them stand in a row, so that a short formula
+  shared by clean documents stays. Scripts written without spaces have each of
+  their code points as a word, of which two (or four, of alphabetic scripts) count
+  as one.
 
 The earliest occurrence of each digest is an aggregation combined before the
 shuffle; digests that occur once end there. The others meet their units again in
-a join that adaptive execution splits where a digest is hot. A document's flagged
+a join that adaptive execution splits where a digest is hot. A document's repeated
 units, which are at most its own, then meet its text.
 
-A digest is 64 bits, and a range needs several equal units in a row, or one of
-``min_words`` words, to go.
+Digests are 128 bits for lines and paragraphs. They are 64 for phrases, of which
+several in a row, or one of ``min_run`` words, must be equal.
 
-Null and empty texts have no unit and stay as they are. Rows of the same id with
-an equal unit at the same place are the same document: repeated rows are treated
-alike. Very long texts are one row's work. An empty table gives no rows. Extra
-columns are carried by ``drop_repeats`` under their own names.
+A document is told from another by its id and its text: rows of one id with
+different texts follow one another by a hash of the text, rows equal in both are one
+document and are treated alike. Rows without an id come last, by a hash of the text.
+Null and empty texts have no unit and stay as they are. Very long texts are one
+row's work. An empty table gives no rows. Extra columns are carried by
+``drop_repeats`` and ``without_repeats`` under their own names, whatever these are.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _arrow
-from ._shared import Scratch
+from ._shared import Scratch, packed
 
 #: Words in a row of which one ends a phrase.
 REACH = 12
@@ -87,8 +92,8 @@ def _slide(best: np.ufunc, values: np.ndarray) -> np.ndarray:
     return values
 
 
-class Units:
-    """Units of all documents: document, number in it, words and their quarters, digest, byte range."""
+class Phrases:
+    """Phrases of all documents: document, number in it, words and their quarters, digest, byte range."""
 
     def __init__(self, buf: np.ndarray, off: np.ndarray):
         words = _arrow.Words(buf, off)
@@ -131,84 +136,157 @@ class Units:
         self.pos = np.arange(len(self.doc)) - begin[self.doc]
 
 
-def units(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, digest) of every unit."""
+_LINE, _PARAGRAPH = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
+
+
+class Lines:
+    """Lines, or paragraphs, with a word: document, number in it, words, two digests, byte range with the line break."""
+
+    def __init__(self, buf: np.ndarray, off: np.ndarray, paragraph: bool):
+        words = _arrow.Words(buf, off)
+        feed = np.flatnonzero(buf == 10)
+        # a text's end bounds its last line; empty texts have no words and so no line
+        line_end = np.unique(np.concatenate([feed + 1, off[1:]]))
+        line = np.searchsorted(line_end, words.start, "right")  # of each word
+        new = np.ones(len(line), bool)
+        gap = 2 if paragraph else 1
+        new[1:] = (line[1:] - line[:-1] >= gap) | (words.doc[1:] != words.doc[:-1])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(line)) - 1 if len(first) else first
+        self.doc, self.size = words.doc[first], last - first + 1
+        begin = np.concatenate([[0], line_end])
+        self.start, self.end = begin[line[first]], line_end[line[last]]
+        self.pos = np.arange(len(first)) - np.searchsorted(self.doc, np.arange(words.docs))[self.doc]
+        self.digest = self.more = np.zeros(0, np.uint64)
+        if len(first):
+            h, kind = words.hashes(lower=True), _PARAGRAPH if paragraph else _LINE
+            place = np.arange(len(h), dtype=np.uint64) - np.repeat(first, self.size).astype(np.uint64)
+            halves = [np.add.reduceat(_arrow.mix(_arrow.mix(h + salt) ^ (place * _FACTOR + salt)), first) for salt in (kind, ~kind)]
+            self.digest, self.more = (_arrow.mix(x + self.size.astype(np.uint64)) for x in halves)
+
+
+KINDS = ("line", "paragraph", "phrase")
+
+
+def _of(kind: str, buf: np.ndarray, off: np.ndarray):
+    return Phrases(buf, off) if kind == "phrase" else Lines(buf, off, kind == "paragraph")
+
+
+def _place(kind: str, pos: np.ndarray) -> np.ndarray:
+    """The number of a unit in its document, of whatever kind."""
+    return pos * len(KINDS) + KINDS.index(kind)
+
+
+def _key(id_col: str, text_col: str) -> list[Column]:
+    """What tells one document from another, in order: rows without an id last."""
+    i, t = F.col(f"`{id_col}`").cast("bigint"), F.col(f"`{text_col}`")
+    return [i.isNull().alias("z"), F.coalesce(i, F.xxhash64(t)).alias("i"), F.hash(t).alias("t")]
+
+
+def units(docs: DataFrame, kinds: tuple[str, ...], min_words: int) -> DataFrame:
+    """(z, i, at, digest, more) of every unit of (z, i, t, text); ``at`` is ``t`` and the unit's number in one."""
 
     def run(batches):
         for batch in batches:
-            for first, end, buf, off in _arrow.chunks(batch.column(1)):
-                u = Units(buf, off)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first).take(pa.array(u.doc)), pa.array(u.pos.astype(np.int32)), pa.array(u.digest.astype(np.int64))], ["doc_id", "pos", "digest"])
+            salt = batch.column(2).to_numpy().astype(np.int64) << 32
+            for first, end, buf, off in _arrow.chunks(batch.column(3)):
+                for kind in kinds:
+                    u = _of(kind, buf, off)
+                    ok = np.ones(len(u.doc), bool) if kind == "phrase" else u.size >= min_words
+                    doc = u.doc[ok]
+                    more = np.zeros(len(doc), np.int64) if kind == "phrase" else u.more[ok].astype(np.int64)
+                    row = pa.array(doc + first)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(salt[doc + first] + _place(kind, u.pos[ok])), pa.array(u.digest[ok].astype(np.int64)), pa.array(more)], ["z", "i", "at", "digest", "more"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_arrow.tidy(run), "doc_id bigint, pos int, digest bigint")
+    return docs.select("z", "i", "t", "text").mapInArrow(_arrow.tidy(run), "z boolean, i bigint, at bigint, digest bigint, more bigint")
 
 
-def flagged(docs: DataFrame) -> DataFrame:
-    """(doc_id, later array<struct<pos, digest>>): each document's units that occur earlier elsewhere."""
+def repeated(docs: DataFrame, kinds: tuple[str, ...], min_words: int) -> DataFrame:
+    """(z, i, t, later array<int>): the units of each document of (z, i, t, text) that occur earlier."""
     scratch = Scratch(docs.sparkSession, "units")
-    all_units = scratch.write(units(docs), "units", batch=2000)
-    rank = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("i"), F.col("pos").alias("p"))
-    earliest = all_units.groupBy("digest").agg(F.min(rank).alias("a"), F.max(rank).alias("b")).where("a != b").select("digest", "a")
+    all_units = scratch.write(units(docs, kinds, min_words), "units", batch=2000)
+    rank = F.struct("z", "i", "at")
+    earliest = all_units.groupBy("digest", "more").agg(F.min(rank).alias("a"), F.max(rank).alias("b")).where("a != b").select("digest", "more", "a")
     earliest = scratch.write(earliest, "earliest")  # so that a hot digest's units can be split in the join
-    met = all_units.join(earliest, "digest").where(rank != F.col("a"))
-    return met.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "digest")).alias("later"))
-
-
-def _cut(u: Units, i: int, later: set, buf: np.ndarray, off: np.ndarray, min_words: int) -> list[tuple[int, int]]:
-    """Byte ranges to remove from document ``i``."""
-    a, b = np.searchsorted(u.doc, [i, i + 1])
-    hit = [k for k in range(a, b) if (int(u.pos[k]), int(u.digest[k].astype(np.int64))) in later]
-    out, j = [], 0
-    while j < len(hit):
-        e = j
-        while e + 1 < len(hit) and hit[e + 1] == hit[e] + 1:
-            e += 1
-        if u.quarters[hit[j] : hit[e] + 1].sum() >= 4 * min_words:
-            start, end = int(u.start[hit[j]]), int(u.end[hit[e]])
-            after = int(u.start[hit[e] + 1]) if hit[e] + 1 < b else int(off[i + 1])
-            # the line break after a range stays, unless the range has its lines to itself
-            if u.fresh[hit[j]] or 10 not in buf[end:after]:
-                end = after
-            out.append((start, end))
-        j = e + 1
-    return out
-
-
-def drop_repeats(docs: DataFrame, text_col: str = "text", min_words: int = 20) -> DataFrame:
-    """``docs`` with repeats removed from the text, and ``removed`` (array of start and end) and ``n_removed`` added."""
-    later = flagged(docs.select("doc_id", F.col(f"`{text_col}`").alias("text"))).withColumnRenamed("doc_id", "_sd_id")
-    kept = [c for c in docs.columns if c not in ("removed", "n_removed")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept])
-    met = rows.join(later, rows["doc_id"].cast("bigint").eqNullSafe(later["_sd_id"]), "left").select(*[rows[f"`{c}`"] for c in kept], F.col("later").alias("_sd_later"))
-    k = kept.index(text_col)
+    met = all_units.join(earliest, ["digest", "more"]).where(rank != F.col("a"))
+    at = F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("at")
+    return met.select("z", "i", F.shiftright("at", 32).cast("int").alias("t"), at).groupBy("z", "i", "t").agg(F.collect_set("at").alias("later"))
+
+
+def _cut(found: list[tuple[str, Phrases | Lines]], i: int, later: np.ndarray, buf: np.ndarray, off: np.ndarray, min_run: int) -> list[tuple[int, int]]:
+    """Byte ranges to remove from document ``i``, ascending and apart."""
+    out: list[tuple[int, int]] = []
+    for kind, u in found:
+        a, b = np.searchsorted(u.doc, [i, i + 1])
+        hit = a + np.flatnonzero(np.isin(_place(kind, u.pos[a:b]), later))
+        if kind != "phrase":
+            out.extend(zip(u.start[hit].tolist(), u.end[hit].tolist(), strict=True))
+            continue
+        for run in np.split(hit, np.flatnonzero(np.diff(hit) > 1) + 1):
+            if len(run) and u.quarters[run[0] : run[-1] + 1].sum() >= 4 * min_run:
+                start, end = int(u.start[run[0]]), int(u.end[run[-1]])
+                after = int(u.start[run[-1] + 1]) if run[-1] + 1 < b else int(off[i + 1])
+                # the line break after a range stays, unless the range has its lines to itself
+                if u.fresh[run[0]] or 10 not in buf[end:after]:
+                    end = after
+                out.append((start, end))
+    joined: list[tuple[int, int]] = []
+    for start, end in sorted(out):
+        if joined and start <= joined[-1][1]:
+            joined[-1] = (joined[-1][0], max(end, joined[-1][1]))
+        else:
+            joined.append((start, end))
+    return joined
+
+
+def _dropped(docs: DataFrame, id_col: str, text_col: str, kinds: tuple[str, ...], min_words: int, min_run: int) -> DataFrame:
+    """(row, text, removed, n_removed): all other columns of each row, what is left of its text, and what is not."""
+    if not kinds or set(kinds) - set(KINDS):
+        raise ValueError(f"units are some of {KINDS}")
+    key = _key(id_col, text_col)
+    later = repeated(docs.select(*key, F.col(f"`{text_col}`").alias("text")), kinds, min_words)
+    rows = docs.select(packed(docs, text_col).alias("row"), F.col(f"`{text_col}`").alias("text"), *key)
+    met = rows.join(later, ["z", "i", "t"], "left").select("row", "text", "later")
 
     def run(batches):
         for batch in batches:
             text, removed = [], []
-            flags = batch.column(len(kept))
-            for first, end, buf, off in _arrow.chunks(batch.column(k)):
+            flags = batch.column(2)
+            for first, end, buf, off in _arrow.chunks(batch.column(1)):
                 some = flags.slice(first, end - first).is_valid().to_numpy(zero_copy_only=False)
-                u = Units(buf, off) if some.any() else None
+                found = [(kind, _of(kind, buf, off)) for kind in kinds] if some.any() else []
                 data = buf.tobytes()
                 for i in range(end - first):
                     own = data[off[i] : off[i + 1]]
                     spans: list = []
                     if some[i]:
-                        later = {(x["pos"], x["digest"]) for x in flags[first + i].as_py()}
                         at, parts = 0, []
-                        for s, e in _cut(u, i, later, buf, off, min_words):
+                        for s, e in _cut(found, i, flags[first + i].values.to_numpy(), buf, off, min_run):
                             s, e = s - int(off[i]), e - int(off[i])
                             parts.append(own[at:s])
-                            spans.append({"start": len(own[:s].decode()), "end": len(own[:e].decode())})
+                            start = (spans[-1]["end"] if spans else 0) + len(own[at:s].decode())
+                            spans.append({"start": start, "end": start + len(own[s:e].decode())})
                             at = e
                         own = b"".join(parts) + own[at:] if spans else own
                     text.append(own.decode())
                     removed.append(spans)
-            null = batch.column(k).is_null().to_pylist()
+            null = batch.column(1).is_null().to_pylist()
             text = [None if z else t for t, z in zip(text, null, strict=True)]
-            cols = [pa.array(text, batch.schema.field(k).type) if c == k else batch.column(c) for c in range(len(kept))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([len(x) for x in removed], pa.int64())], [*kept, "removed", "n_removed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string()), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([len(x) for x in removed], pa.int64())], ["row", "text", "removed", "n_removed"])
 
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-    schema = T.StructType([*rows.schema.fields, T.StructField("removed", T.ArrayType(span)), T.StructField("n_removed", T.LongType())])
+    schema = T.StructType([rows.schema["row"], T.StructField("text", T.StringType()), T.StructField("removed", T.ArrayType(span)), T.StructField("n_removed", T.LongType())])
     return met.mapInArrow(_arrow.tidy(run), schema)
+
+
+def drop_repeats(docs: DataFrame, text_col: str = "text", kinds: tuple[str, ...] = ("line", "paragraph"), min_words: int = 1, min_run: int = 20, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` with repeats removed from the text, and ``removed`` (array of start and end) and ``n_removed`` added (where ``docs`` has such names, theirs go)."""
+    out = _dropped(docs, id_col, text_col, kinds, min_words, min_run)
+    kept = [c for c in docs.columns if c not in ("removed", "n_removed")]
+    return out.select(*[(F.col("text") if c == text_col else F.col("row")[c]).alias(c) for c in kept], "removed", "n_removed")
+
+
+def without_repeats(docs: DataFrame, text_col: str = "text", kinds: tuple[str, ...] = ("line", "paragraph"), min_words: int = 1, min_run: int = 20, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` with repeats removed from the text and no other column changed or added."""
+    out = _dropped(docs, id_col, text_col, kinds, min_words, min_run)
+    return out.select(*[(F.col("text") if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
