@@ -1,7 +1,14 @@
 """Documents to packed sequences, in five stages.
 
 Each stage gets what its predecessor wrote and returns a DataFrame; all but the
-last keep the columns of ``documents``, with ``text`` (and ``n_chars``) as changed.
+last return the columns of ``documents``, with ``text`` (and ``n_chars``, where there
+is one) as changed, and any further columns as they were, whatever their names.
+
+Null and empty texts fail the quality rules and go there; a later stage that meets
+one keeps it as it is. A row without an id is a document like any other. Repeated
+rows (equal id and text) are one document in near dedup and stay or go together.
+Very long texts are one row's work in every stage. Ties go to the least id, then the
+least hash of the text. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -10,53 +17,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import bagminhash, linededup, packing, quality_rules, substring
-from corpusloom.llm._shared import BATCH, Scratch
-from corpusloom.llm.queries import table, vocabulary
+from corpusloom.llm._shared import Scratch, released
+from corpusloom.llm.queries import REPEATS, table, vocabulary
 
-
-#: Rows of an Arrow batch: stages carry whole texts to Python and back.
+#: Rows of an Arrow batch while run() makes a stage: stages carry whole texts to Python and back.
 ROWS = 1000
 
 
-def _lean(spark: SparkSession) -> None:
-    if not 0 < int(spark.conf.get(BATCH)) <= ROWS:
-        spark.conf.set(BATCH, ROWS)
-
-
-def _counted(df: DataFrame, columns: list[str]) -> DataFrame:
-    """The columns of the input, with the number of characters as it is now."""
-    if "n_chars" in columns:
-        df = df.withColumn("n_chars", F.length("text").cast(df.schema["n_chars"].dataType))
-    return df.select(*[F.col(f"`{c}`") for c in columns])
+def _counted(docs: DataFrame) -> DataFrame:
+    """``docs`` with the number of characters as it is now."""
+    if "n_chars" not in docs.columns:
+        return docs
+    kind = docs.schema["n_chars"].dataType
+    return docs.select(*[(F.length("text").cast(kind) if c == "n_chars" else F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    _lean(spark)
+    """Documents that the quality rules reject go; null and empty texts are rejected."""
     return quality_rules.keep_good(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in ten documents or more go."""
-    _lean(spark)
-    return _counted(linededup.drop_frequent_lines(docs), docs.columns)
+    """Lines found in ten documents or more go; a text may become empty, and its row stays."""
+    return _counted(linededup.without_frequent_lines(docs, min_docs=10))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays."""
-    _lean(spark)
+    """One document of each near-duplicate class stays; texts without a word are no copies of each other."""
     return bagminhash.keep_one(docs)
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document has go."""
-    _lean(spark)
-    return _counted(substring.drop_repeats(docs), docs.columns)
+    """Passages that an earlier document has go; rows stay."""
+    return _counted(substring.without_repeats(docs, **REPEATS))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 1024 tokens."""
-    _lean(spark)
+    """Pieces of sequences of 1024 tokens; a null or empty text is a document of the end id alone."""
     return packing.pack(docs, vocabulary())
 
 
@@ -67,9 +64,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet and reread."""
+    """All stages over ``documents``, each written as Parquet and reread; what a stage stored for itself goes with its end."""
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = scratch.write(stage(spark, docs, sf_dir), f"{k}-{name}")
+        with released(spark):
+            docs = scratch.write(stage(spark, docs, sf_dir), f"{k}-{name}", batch=ROWS)
+        if k:
+            scratch.drop(f"{k - 1}-{STAGES[k - 1][0]}")
     return docs
