@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from . import _arrow
 from ._labels import labelled
+from ._shared import packed
 
 SYMBOLS = b"#*$%&|<>"
 
@@ -226,16 +227,17 @@ def judge(docs: DataFrame, trees: Trees | None, id_col: str = "doc_id", text_col
 
 def keep_good(docs: DataFrame, trees: Trees | None, text_col: str = "text", min_words: int = 50, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns."""
-    names = list(docs.columns)
 
     def run(batches):
         for batch in batches:
             keep = []
-            for _, _, buf, off in _arrow.chunks(batch.column(names.index(text_col))):
+            for _, _, buf, off in _arrow.chunks(batch.column(1)):
                 s = statistics(buf, off)
                 n, repeat = s["n_words"], s["n_repeat"]
                 ok = (n >= min_words) & (100 * repeat <= 50 * n)
                 keep.append(ok & (trees.probability(features(s)) >= threshold) if trees is not None else ok)
             yield batch.filter(pa.array(np.concatenate(keep)) if keep else pa.array([], pa.bool_()))
 
-    return docs.mapInArrow(_arrow.tidy(run), docs.schema)
+    rows = docs.select(packed(docs, text_col).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    out = rows.mapInArrow(_arrow.tidy(run), rows.schema)
+    return out.select(*[(F.col("text") if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
