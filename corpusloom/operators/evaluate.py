@@ -2,9 +2,75 @@
 
 from __future__ import annotations
 
+from typing import Protocol
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+from ..sources.tables import stored
+
+
+class Judge(Protocol):
+    """A model that grades answers; it runs on executors, so it must pickle."""
+
+    def faithfulness(self, question: str, answer: str, evidence: str) -> tuple[float, list[str], list[str]]: ...
+
+    def correctness(self, question: str, answer: str, reference: str) -> tuple[int, bool]: ...
+
+
+class OfflineJudge:
+    """Deterministic stand-in: words of the answer found in the evidence, and in the reference."""
+
+    @staticmethod
+    def _share(answer, text):
+        words, known = (answer or "").lower().split(), set((text or "").lower().split())
+        return sum(w in known for w in words) / len(words) if words else 0.0
+
+    def faithfulness(self, question, answer, evidence):
+        known = set((evidence or "").lower().split())
+        return round(self._share(answer, evidence), 4), [w for w in (answer or "").split() if w.lower() not in known], []
+
+    def correctness(self, question, answer, reference):
+        share = self._share(answer, reference)
+        return 1 + int(4 * share), share > 0
+
+
+def judge(answers: DataFrame, client: Judge) -> DataFrame:
+    """``answers`` (question, answer, evidence, reference, refused, ...) with a judge's grades, each asked for once.
+
+    A refused answer is not shown: its correctness is 1 and its faithfulness missing.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples():
+                if r.refused:
+                    rows.append((None, [], [], 1, False))
+                else:
+                    rows.append((*client.faithfulness(r.question, r.answer, r.evidence), *client.correctness(r.question, r.answer, r.reference)))
+            yield pdf.assign(**dict(zip(GRADES, map(list, zip(*rows, strict=True)), strict=True)) if rows else {c: [] for c in GRADES})
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in answers.schema.fields)
+    return stored(answers.mapInPandas(run, f"{kept}, faithfulness double, unsupported array<string>, contradicted array<string>, correctness int, answers_question boolean"), "judged")
+
+
+GRADES = ("faithfulness", "unsupported", "contradicted", "correctness", "answers_question")
+
+
+def upper_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, median): the middle of each group's sorted values, the upper one of two.
+
+    Equal values are counted before the shuffle; what is ordered is a group's distinct values.
+    """
+    n = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*keys)
+    upto = F.sum("_n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = n.withColumn("_upto", upto).withColumn("_half", F.floor(F.sum("_n").over(w) / 2))
+    return ranked.where(F.col("_upto") > F.col("_half")).groupBy(*keys).agg(F.min(value).alias("median"))
+
 
 def per_query(ranking: DataFrame, gold: DataFrame, depth: int = 10, miss: float = 0.0) -> DataFrame:
     """(query_id, kind, hit1, hit5, hit10, recall10, rr, ndcg) of every query in ``gold`` (query_id, kind, doc_id).
@@ -14,9 +80,9 @@ def per_query(ranking: DataFrame, gold: DataFrame, depth: int = 10, miss: float
     """
     asked = gold.groupBy("query_id", "kind").agg(F.count_distinct("doc_id").alias("n"))
     hits = ranking.join(gold.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"]).groupBy("query_id").agg(
-        F.min("rank").alias("first"), F.sum(F.when(F.col("rank") <= depth, 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias("dcg"), F.sum(F.when(F.col("rank") <= 10, 1).otherwise(0)).alias("in10")
+        F.min("rank").alias("first"), F.sum(F.when(F.col("rank") <= depth, X.dcg(F.col("rank"))).otherwise(0.0)).alias("dcg"), F.sum(F.when(F.col("rank") <= 10, 1).otherwise(0)).alias("in10")
     )
-    ideal = F.aggregate(F.sequence(F.lit(1), F.least("n", F.lit(depth)).cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least("n", F.lit(depth)).cast("int")), F.lit(0.0), lambda a, i: a + X.dcg(i))
     hit = lambda k: F.when(F.col("first") <= k, 1.0).otherwise(0.0).alias(f"hit{k}")
     return asked.join(hits, "query_id", "left").select("query_id", "kind", hit(1), hit(5), hit(10), (F.coalesce("in10", F.lit(0)) / F.col("n")).alias("recall10"), F.coalesce(1 / F.col("first"), F.lit(miss)).alias("rr"), (F.coalesce("dcg", F.lit(0.0)) / ideal).alias("ndcg"))
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.tables import stored
 
-#: Values of a query block that go to every task (numbers of 8 bytes).
-BLOCK_VALUES = 4_000_000
+#: Values of a query block that a task multiplies at once (numbers of 8 bytes), and queries of one set.
+BLOCK_VALUES, QUERY_ROWS = 100_000, 100_000
 
 #: Rows (query, token) of a query set that may be broadcast, about 50 bytes each.
 BROADCAST_ROWS = 1_000_000
@@ -39,32 +42,82 @@ def _bounded(side: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(side) if rows <= BROADCAST_ROWS else side
 
 
-def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 30, n: int = 4, k1: float = 1.5, b: float = 0.75, floor: float = 0.25) -> DataFrame:
+def lexical_statistics(docs: DataFrame, n: int = 4) -> DataFrame:
+    """(token, df) of ``docs`` (doc_id, text): in how many documents each token is. Combined before the shuffle."""
+    bag = X.lexical_tokens(F.coalesce("text", F.lit("")), n)
+    return docs.select(F.explode(F.array_distinct(bag)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+
+
+def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 30, n: int = 4, k1: float = 1.5, b: float = 0.75, floor: float = 0.25, same_work: bool = False, fill: bool = False, statistics: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank) for ``docs`` (doc_id, text) and ``queries`` (query_id, text).
 
-    Documents are dealt by id once, so that a document's tokens are counted, and
-    its scores summed, where its text is. Only the vocabulary with its document
-    frequencies, combined first, is shuffled beside them. Tokens that no query has
-    end before they are counted; the length is arithmetic. A repeated query token
-    counts repeatedly. A negative idf becomes ``floor`` times the mean idf.
+    Document frequencies are of the whole vocabulary, as the mean idf needs them; ``statistics`` gives those of
+    ``lexical_statistics`` if an index has them. From there on only tokens of queries count: while these
+    are few, a document's bag is filtered by them inside its row, before it becomes rows. A repeated
+    query token counts repeatedly. A negative idf becomes ``floor`` times the mean idf.
+
+    With ``same_work`` only documents of a query's ``work`` are ranked (both sides have that column); statistics
+    are still those of all. With ``fill`` a query that fewer than ``k`` documents share a token with gets
+    the first others by id, with score 0.
     """
     bag = X.lexical_tokens(F.col("text"), n)
-    # tokens are ten times their text: the partitions are stated, so that none are merged for its size
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # the length is taken before the exchange: beside explode it would be taken again for every token
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("dl", X.lexical_length(F.col("text"), n)).repartition(parts, "doc_id")
-    asked = postings(queries.select("query_id", F.coalesce("text", F.lit("")).alias("text")), "query_id", bag).withColumnRenamed("tf", "qf")
-    rows = asked.count()
-    whole = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-    df = docs.select(F.explode(F.array_distinct(bag)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
+    asked = queries.withColumn("text", F.coalesce("text", F.lit("")))
+    tokens = stored(postings(asked, "query_id", bag).withColumnRenamed("tf", "qf"), "asked")
+    rows = tokens.count()
+    df = stored(lexical_statistics(docs, n) if statistics is None else statistics, "df")
+    whole = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(X.lexical_length(F.col("text"), n)).alias("avgdl"))
     idf = df.join(F.broadcast(whole)).select("token", "avgdl", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
     mean = idf.agg(F.avg("idf").alias("mean"))
-    plan = idf.join(_bounded(asked, rows), "token").join(F.broadcast(mean)).withColumn("idf", F.when(F.col("idf") < 0, floor * F.col("mean")).otherwise(F.col("idf")))
-    wanted = asked.select("token").distinct()
-    tf = docs.select("doc_id", "dl", F.explode(bag).alias("token")).join(_bounded(wanted, rows), "token", "left_semi").groupBy("doc_id", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
+    wanted = tokens.select("token").distinct()
+    plan = idf.join(_bounded(wanted, rows), "token").join(F.broadcast(mean)).select("token", "avgdl", F.when(F.col("idf") < 0, floor * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
+    plan = plan.join(_bounded(tokens, rows), "token")
+    length = X.lexical_length(F.col("text"), n).alias("dl")
+    tf = _query_tokens(docs.select("doc_id", "text", length), wanted, rows, n)
     weight = F.col("qf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     score = tf.join(_bounded(plan, rows), "token").groupBy("query_id", "doc_id").agg(F.round(F.sum(weight), 6).alias("score"))
-    return top(score, k)
+    if same_work:
+        score = score.join(asked.select("query_id", "work"), "query_id").join(docs.select("doc_id", "work"), ["doc_id", "work"]).select("query_id", "doc_id", "score")
+    best = top(score, k)
+    if not fill:
+        return best
+    # at most k documents come before the k-th that shares no token: the first 2k by id are enough for every query
+    first = lambda d: d.select("doc_id").orderBy("doc_id").limit(2 * k)
+    if same_work:
+        w = Window.partitionBy("work").orderBy("doc_id")
+        early = docs.select("doc_id", "work", F.row_number().over(w).alias("_k")).where(F.col("_k") <= 2 * k)
+        none = asked.select("query_id", "work").join(early, "work").select("query_id", "doc_id")
+    else:
+        none = asked.select("query_id").join(F.broadcast(first(docs)))
+    none = none.join(score.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))
+    return top(best.drop("rank").unionByName(none), k)
+
+
+def _query_tokens(docs: DataFrame, wanted: DataFrame, rows: int, n: int) -> DataFrame:
+    """(doc_id, dl, token, tf) of the tokens that are ``wanted``, from (doc_id, text, dl)."""
+    if rows > BROADCAST_ROWS:
+        bag = X.lexical_tokens(F.col("text"), n)
+        return docs.select("doc_id", "dl", F.explode(bag).alias("token")).join(wanted, "token", "left_semi").groupBy("doc_id", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
+    known = docs.sparkSession.sparkContext.broadcast(wanted.toPandas()["token"].tolist())
+
+    def run(batches):
+        number = {t: k for k, t in enumerate(known.value)}
+        for batch in batches:
+            names, length = batch.column(0), batch.column(2)
+            at, token, count = [], [], []
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                grams = [text[k : k + n] for k in range(len(text) - n + 1)] + text.split()
+                found = Counter(map(number.get, grams))
+                found.pop(None, None)
+                at.extend([row] * len(found))
+                token.extend(found)
+                count.extend(found.values())
+            row = pa.array(at, pa.int64())
+            words = pa.array(known.value, pa.string()).take(pa.array(token, pa.int64()))
+            yield pa.RecordBatch.from_arrays([names.take(row), length.take(row), words, pa.array(count, pa.int64())], ["doc_id", "dl", "token", "tf"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text", F.col("dl").cast("bigint").alias("dl")).mapInArrow(run, f"doc_id {kind}, dl bigint, token string, tf bigint")
 
 
 def top(score: DataFrame, k: int, *ties: str) -> DataFrame:
@@ -77,49 +130,52 @@ def similarities(units: DataFrame, queries: DataFrame, keep: int, same_work: boo
     """(query_id, unit_id, doc_id, score): for each query its best ``keep`` units of every task.
 
     Inner products by matrix multiplication of a task's rows with blocks of
-    queries. A query set is stated, and taken in blocks of bounded size. With
+    queries. A query set is stated and bounded (``QUERY_ROWS``); a task takes it in blocks, so that
+    the units are read once. With
     ``same_work`` True, units of another work than the query's are left out; with
     ``mask`` they score -1, before any is cut off.
     """
-    rows = queries.select("query_id", F.col("work").cast("string").alias("work"), "embedding").orderBy("query_id")
-    width = rows.select(F.size("embedding").alias("n")).head()
-    size = max(1, BLOCK_VALUES // max(1, width["n"] if width else 1))
-    count = rows.count()
-    ranked = rows.withColumn("_b", F.floor((F.row_number().over(Window.orderBy("query_id")) - 1) / size))
-    parts = []
-    for k in range(max(1, -(-count // size))):
-        block = ranked.where(F.col("_b") == k).toPandas()
-        ids, works = block["query_id"].to_numpy(np.int64), block["work"].to_numpy(object)
-        matrix = np.array(block["embedding"].tolist(), np.float64).reshape(len(ids), -1)
-
-        def run(batches, ids=ids, works=works, matrix=matrix):
-            held: list[np.ndarray] = [np.zeros((0, 2))] * len(ids)
-            docs: dict[int, str | None] = {}
-            for batch in batches:
-                if not batch.num_rows or not len(ids):
-                    continue
-                vec = np.array(batch.column("embedding").to_pylist(), np.float64)
-                unit = batch.column("unit_id").to_numpy(zero_copy_only=False)
-                work = np.array(batch.column("work").to_pylist(), object)
-                score = np.round(matrix @ vec.T, 6) + 0.0
-                docs.update(zip(unit.tolist(), batch.column("doc_id").to_pylist(), strict=True))
-                for i in range(len(ids)):
-                    ok = np.flatnonzero(work == works[i]) if same_work else np.arange(len(unit))
-                    own = np.where(work == works[i], score[i], -1.0) if mask else score[i]
-                    both = np.concatenate([held[i], np.stack([own[ok], unit[ok]], axis=1)])
-                    held[i] = both[np.lexsort((both[:, 1], -both[:, 0]))[:keep]]
-                used = {int(u) for h in held for u in h[:, 1]}
+    rows = queries.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("work").cast("string").alias("work"), "embedding")
+    rows = stored(rows.orderBy("query_id"), "queries")
+    if (count := rows.count()) > QUERY_ROWS:
+        raise ValueError(f"{count} queries at once: more than {QUERY_ROWS}; ask in parts")
+    held = rows.toPandas().sort_values("query_id")
+    width = len(held["embedding"].iloc[0]) if len(held) else 1
+    asked = queries.sparkSession.sparkContext.broadcast((held["query_id"].to_numpy(np.int64), held["work"].to_numpy(object), np.array(held["embedding"].tolist(), np.float64).reshape(len(held), width)))
+    step = max(1, BLOCK_VALUES // max(1, width))
+
+    def run(batches):
+        ids, works, matrix = asked.value
+        best_unit = np.full((len(ids), keep), np.iinfo(np.int64).max)
+        best = np.full((len(ids), keep), -np.inf)
+        docs: dict[int, str | None] = {}
+        for batch in batches:
+            if not batch.num_rows or not len(ids):
+                continue
+            vec = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+            unit = batch.column("unit_id").to_numpy(zero_copy_only=False)
+            work = np.array(batch.column("work").to_pylist(), object)
+            docs.update(zip(unit.tolist(), batch.column("doc_id").to_pylist(), strict=True))
+            for first in range(0, len(ids), step):
+                block = slice(first, first + step)
+                score = np.round(matrix[block] @ vec.T, 6) + 0.0
+                if same_work or mask:
+                    inside = works[block][:, None] == work[None, :]
+                    score = np.where(inside, score, -np.inf if same_work else -1.0)
+                both = np.concatenate([best[block], score], axis=1)
+                named = np.concatenate([best_unit[block], np.broadcast_to(unit, score.shape)], axis=1)
+                order = np.lexsort((named, -both), axis=1)[:, :keep]
+                best[block], best_unit[block] = np.take_along_axis(both, order, 1), np.take_along_axis(named, order, 1)
+            if len(docs) > 4 * best.size:
+                used = set(best_unit.reshape(-1).tolist())
                 docs = {u: d for u, d in docs.items() if u in used}
-            for i, q in enumerate(ids.tolist()):
-                u = held[i][:, 1].astype(np.int64).tolist()
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array([q] * len(u), pa.int64()), "unit_id": pa.array(u, pa.int64()), "doc_id": pa.array([docs[x] for x in u], pa.string()), "score": pa.array(held[i][:, 0], pa.float64())})
+        for i, q in enumerate(ids.tolist()):
+            full = np.isfinite(best[i])
+            u = best_unit[i][full].tolist()
+            yield pa.RecordBatch.from_pydict({"query_id": pa.array([q] * len(u), pa.int64()), "unit_id": pa.array(u, pa.int64()), "doc_id": pa.array([docs[x] for x in u], pa.string()), "score": pa.array(best[i][full], pa.float64())})
 
-        source = units.select(F.col("unit_id").cast("bigint").alias("unit_id"), F.col("doc_id").cast("string").alias("doc_id"), F.col("work").cast("string").alias("work"), "embedding")
-        parts.append(source.mapInArrow(run, "query_id bigint, unit_id bigint, doc_id string, score double"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    source = units.select(F.col("unit_id").cast("bigint").alias("unit_id"), F.col("doc_id").cast("string").alias("doc_id"), F.col("work").cast("string").alias("work"), "embedding")
+    return source.mapInArrow(run, "query_id bigint, unit_id bigint, doc_id string, score double")
 
 
 def dense_topk(units: DataFrame, queries: DataFrame, pool: int = 30, scan: int = 240, same_work: bool | None = None, mask: bool = False) -> DataFrame:
@@ -129,11 +185,6 @@ def dense_topk(units: DataFrame, queries: DataFrame, pool: int = 30, scan: int =
     return top(folded, pool)
 
 
-def masked(scores: DataFrame, inside: Column, pool: int) -> DataFrame:
-    """A ranking in which documents outside the hinted works score -1 but stay."""
-    return top(scores.withColumn("score", F.when(inside, F.col("score")).otherwise(-1.0)), pool)
-
-
 def rrf(first: DataFrame, second: DataFrame, top_k: int, k: int = 60, pool: int = 30) -> DataFrame:
     """Reciprocal-rank fusion of two rankings (query_id, doc_id, rank); ties keep the first ranking's order, then the second's."""
     both = first.select("query_id", "doc_id", F.col("rank").alias("a"), F.lit(None).cast("int").alias("b")).unionByName(second.select("query_id", "doc_id", F.lit(None).cast("int").alias("a"), F.col("rank").alias("b")))
@@ -143,16 +194,28 @@ def rrf(first: DataFrame, second: DataFrame, top_k: int, k: int = 60, pool: int
     return top(one, top_k, "tie", "doc_id").select("query_id", "doc_id", "score", "rank")
 
 
-def hybrid_search(docs: DataFrame, units: DataFrame, queries: DataFrame, top_k: int = 6, pool: int = 30, same_work: bool | None = None) -> DataFrame:
-    """Dense and lexical rankings of each query (query_id, text, work, embedding), fused."""
-    dense = dense_topk(units, queries, pool, pool * 8, same_work)
-    lexical = bm25_topk(docs, queries, pool).withColumn("doc_id", F.col("doc_id").cast("string"))
+def clamped(k: int, low: int = 1, high: int = 8, default: int = 4) -> int:
+    """How many documents a service returns for what it was asked; nothing asked is ``default``."""
+    return max(low, min(int(k or default), high))
+
+
+def hybrid_search(docs: DataFrame, units: DataFrame, queries: DataFrame, top_k: int = 6, pool: int = 30, same_work: bool = False) -> DataFrame:
+    """Dense and lexical rankings of each query (query_id, text, work, embedding), fused.
+
+    With ``same_work`` both are of the query's work: the dense one by a mask, so that others stay behind at
+    score -1, the lexical one strictly. A query without a vector has its lexical ranking alone.
+    """
+    dense = dense_topk(units, queries.where("embedding is not null"), pool, pool * 8, mask=same_work)
+    lexical = bm25_topk(docs, queries, pool, same_work=same_work, fill=True).withColumn("doc_id", F.col("doc_id").cast("string"))
     return rrf(dense, lexical, min(top_k, pool), pool=pool)
 
 
-def soft_hint(hinted: DataFrame, free: DataFrame, top_k: int) -> DataFrame:
-    """Rankings with and without the work filter, fused: the hint helps and excludes nothing."""
-    return rrf(hinted, free, top_k, pool=max(20, 3 * top_k))
+def soft_hint(free: DataFrame, hinted: DataFrame, top_k: int) -> DataFrame:
+    """Rankings without and with the work filter, fused: the hint helps and excludes nothing.
+
+    In a tie the free ranking's documents come first. A query without a hinted ranking keeps its free one.
+    """
+    return rrf(free, hinted, top_k, pool=max(20, 3 * top_k))
 
 
 def rerank(ranking: DataFrame, texts: DataFrame, model, top_k: int) -> DataFrame:

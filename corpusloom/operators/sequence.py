@@ -1,7 +1,7 @@
 """Operators over ordered rows: islands, runs, repairs, carry-forward, context, budgets.
 
-Folds whose step depends on their own earlier results run as ``aggregate`` over one
-group's ordered array; everything else is a window.
+Rules whose step depends on their own earlier results pass over a group's rows in order, in
+one task; everything else is a window.
 """
 
 from __future__ import annotations
@@ -25,21 +25,21 @@ def islands(df: DataFrame, keys: list[str], order: list[str], same: list[str]) -
     return marked.withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-def merge_islands(df: DataFrame, keys: list[str], order: list[str], same: list[str], text: str, sep: str = " ") -> DataFrame:
-    """One row for each island: its first columns, its texts joined in order, and ``n``."""
+def merge_islands(df: DataFrame, keys: list[str], order: list[str], same: list[str], text: str, sep: str = " ", count: str = "n") -> DataFrame:
+    """One row for each island: its first columns, its texts joined in order, and the number of its rows as ``count``."""
     marked = islands(df, keys, order, same)
     rank = F.struct(*order)
     rest = [c for c in df.columns if c not in {*keys, text}]
     texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, text))), lambda x: x[text]), sep).alias(text)
-    return marked.groupBy(*keys, "island").agg(*[F.min_by(c, rank).alias(c) for c in rest], texts, F.count(F.lit(1)).alias("n"))
+    return marked.groupBy(*keys, "island").agg(*[F.min_by(c, rank).alias(c) for c in rest], texts, F.count(F.lit(1)).alias(count))
 
 
 def runs(df: DataFrame, keys: list[str], order: list[str], n: str, low: int = 3, high: int = 10) -> DataFrame:
     """Adds ``run``: a new one starts where a number of at most ``low`` follows one of at least ``high``
-    and the next is at most two greater (or there is none)."""
+    and there is a next one, at most two greater."""
     w = _window(keys, order)
     after = F.lead(n).over(w)
-    start = (F.col(n) <= low) & (F.lag(n).over(w) >= high) & (after.isNull() | (after <= F.col(n) + 2))
+    start = (F.col(n) <= low) & (F.lag(n).over(w) >= high) & (after <= F.col(n) + 2)
     marked = df.withColumn("_start", F.coalesce(start, F.lit(False)).cast("int"))
     return marked.withColumn("run", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_start")
 
@@ -60,32 +60,30 @@ def keep_run(df: DataFrame, keys: list[str], order: list[str], n: str, factor: f
     return marked.join(best, [*keys, "run"])
 
 
-def repaired(numbers: Column) -> Column:
-    """An array of numbers with dropped hundreds and lone dips restored.
+def _in_order(df: DataFrame, keys: list[str], order: list[str], change) -> DataFrame:
+    """``change(rows)`` of each group's rows in order; a group is worked through in one task, in one pass."""
+    return df.groupBy(*keys).applyInPandas(lambda pdf: change(pdf.sort_values(order, kind="stable")), df.schema)
 
-    Each is judged against the repaired one before it: if the expected number is
-    100 or more and differs by a multiple of 100, the hundreds were dropped; if
-    the number is no greater than the one before and the next goes on by two, it is a dip.
-    """
-    pairs = F.transform(numbers, lambda x, i: F.struct(x.cast("bigint").alias("n"), F.get(numbers, i + 1).cast("bigint").alias("next")))
 
-    def step(a, p):
-        last = F.try_element_at(a, F.lit(-1))
-        due = last + 1
-        hundreds = (due >= 100) & (p["n"] != due) & ((due - p["n"]) % 100 == 0) & (p["n"] < due)
-        dip = (p["n"] <= last) & (p["next"] == last + 2)
-        return F.array_append(a, F.when(last.isNull(), p["n"]).when(hundreds | dip, due).otherwise(p["n"]))
+def repaired(numbers: list[int]) -> list[int]:
+    """Numbers with dropped hundreds and lone dips restored.
 
-    return F.aggregate(pairs, F.array().cast("array<bigint>"), step)
+    Each is judged against the repaired one before it: if the expected number is 100 or more and greater by a
+    multiple of 100, the hundreds were dropped; if the number is less than the one before and the next goes on
+    by two from that, it is a dip.
+    """
+    out: list[int] = []
+    for n, after in zip(numbers, [*numbers, None][1:], strict=True):
+        due = out[-1] + 1 if out else n
+        hundreds = n < due and due >= 100 and (due - n) % 100 == 0
+        dip = n < due - 1 and after == due + 1
+        out.append(due if hundreds or dip else n)
+    return out
 
 
 def repair_numbers(df: DataFrame, keys: list[str], order: list[str], n: str) -> DataFrame:
-    """``df`` with ``n`` repaired in each group; a group's numbers fit one row."""
-    rows = F.array_sort(F.collect_list(F.struct(*order, *[c for c in df.columns if c not in {*keys, *order}])))
-    got = df.groupBy(*keys).agg(rows.alias("_rows"))
-    got = got.withColumn("_n", repaired(F.transform("_rows", lambda x: x[n])))
-    out = got.select(*keys, F.posexplode("_rows").alias("_k", "_r"), "_n")
-    return out.select(*keys, *[(F.get("_n", F.col("_k")) if c == n else F.col(f"_r.{c}")).alias(c) for c in df.columns if c not in keys])
+    """``df`` with ``n`` repaired in each group."""
+    return _in_order(df, keys, order, lambda rows: rows.assign(**{n: repaired(rows[n].tolist())}))
 
 
 def suffix_duplicates(df: DataFrame, keys: list[str], order: list[str], text: str) -> DataFrame:
@@ -102,11 +100,17 @@ def carry_forward(df: DataFrame, keys: list[str], order: list[str], value: Colum
     return df.withColumn(name, F.last(value, ignorenulls=True).over(_window(keys, order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def accepted_headings(numbers: Column) -> Column:
-    """Which numbers of an array continue the last accepted one by one (an array of booleans)."""
-    step = lambda a, x: F.struct(F.when(x == a["last"] + 1, x).otherwise(a["last"]).alias("last"), F.array_append(a["ok"], x == a["last"] + 1).alias("ok"))
-    start = F.struct(F.lit(0).cast("bigint").alias("last"), F.array().cast("array<boolean>").alias("ok"))
-    return F.aggregate(F.transform(numbers, lambda x: x.cast("bigint")), start, step, lambda a: a["ok"])
+def accepted_headings(df: DataFrame, keys: list[str], order: list[str], n: str) -> DataFrame:
+    """The rows whose number continues the last accepted one by one, from 1."""
+
+    def accept(rows):
+        last, keep = 0, []
+        for x in rows[n].tolist():
+            keep.append(x == last + 1)
+            last += keep[-1]
+        return rows[keep]
+
+    return _in_order(df, keys, order, accept)
 
 
 def select_context(df: DataFrame, keys: list[str], order: list[str], anchor: Column, small: int = 30, opening: int = 2, around: int = 1, least: int = 8, cap: int = 120) -> DataFrame:
@@ -131,20 +135,28 @@ def budget_prefix(df: DataFrame, keys: list[str], order: list[str], cost: str, c
     return df.withColumn("running", running).where(F.col("running") <= cap)
 
 
-def budget_plan(costs: Column, cap: float) -> Column:
-    """Which of an array of (group, cost) are accepted under one budget.
+def budget_plan(df: DataFrame, group: str, order: list[str], cost: str, cap: float) -> DataFrame:
+    """The rows of ``df`` that one budget pays for, group after group.
 
-    A group ends at its first item that does not fit; a later group may still add
-    cheaper ones. So this is a fold, not a prefix of one running sum.
+    A group ends at its first row that does not fit; a later group may still add cheaper ones. Rows beyond the
+    budget by their own group alone end at a window. Those within pass in order through one task, which
+    holds nothing but what was spent.
     """
-
-    def step(a, x):
-        shut = (a["group"].eqNullSafe(x["group"])) & a["shut"]
-        fits = ~shut & (a["spent"] + x["cost"] <= cap)
-        return F.struct(x["group"].alias("group"), (~fits).alias("shut"), F.when(fits, a["spent"] + x["cost"]).otherwise(a["spent"]).alias("spent"), F.array_append(a["ok"], fits).alias("ok"))
-
-    start = F.struct(F.lit(None).cast("string").alias("group"), F.lit(False).alias("shut"), F.lit(0.0).alias("spent"), F.array().cast("array<boolean>").alias("ok"))
-    return F.aggregate(costs, start, step, lambda a: a["ok"])
+    within = budget_prefix(df, [group], order, cost, cap).drop("running")
+
+    def accept(batches):
+        spent, now, shut = 0.0, None, False
+        for pdf in batches:
+            keep = []
+            for g, c in zip(pdf[group], pdf[cost], strict=True):
+                shut = shut and g == now
+                now = g
+                shut = shut or spent + c > cap
+                keep.append(not shut)
+                spent += 0 if shut else c
+            yield pdf[keep]
+
+    return within.orderBy(*order).coalesce(1).mapInPandas(accept, df.schema)
 
 
 def chunk(order: Column, size: int) -> Column:

@@ -7,39 +7,17 @@ questions; lineitem is an ordered verse list of orders.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import align, cards, evaluate, parse, qa, retrieve, sequence
 from ..sources import readers
+from .registry import oracle_sql, queries, query, table
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
-
+__all__ = ["oracle_sql", "queries"]
 
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+_t = table
 
 
 # ---------------------------------------------------------------- aggregation and sets
@@ -102,7 +80,7 @@ def distinct_sets(spark, sf_dir):
 @query("""
 SELECT source, list_sort(list(n_chars))[(count(*) // 2 + 1)::INT] AS median FROM documents GROUP BY source""")
 def upper_median(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").groupBy("source").agg(X.upper_median(F.col("n_chars")).alias("median"))
+    return evaluate.upper_median(_t(spark, sf_dir, "documents"), ["source"], "n_chars")
 
 
 @query("""
@@ -164,7 +142,7 @@ def char_ngrams_tokens(spark, sf_dir):
 
 @query("""
 SELECT item_id, substr(sha1(text), 1, 16) AS slug, replace(replace('w__' || item_id || '.1', '.', '_'), ' ', '') AS request,
-       regexp_replace(text, '[\\s।॥|.,;:!?-]+', '', 'g') AS squashed FROM benchmark""")
+       regexp_replace(nfc_normalize(text), '[\\s।॥|.,;:!?-]+', '', 'g') AS squashed FROM benchmark""")
 def scalar_functions(spark, sf_dir):
     b = _t(spark, sf_dir, "benchmark")
     return b.select("item_id", X.slug(F.col("text")).alias("slug"), X.request_id(F.lit("w"), F.concat(F.col("item_id").cast("string"), F.lit(".1"))).alias("request"), X.squash(F.col("text")).alias("squashed"))
@@ -181,15 +159,33 @@ def span_split(spark, sf_dir):
     return d.select("doc_id", "text", p.alias("p")).select("doc_id", F.size("p").alias("n"), kept.alias("kept"), F.length("text").alias("total"))
 
 
-@query()
+@query("""
+SELECT doc_id, md5(regexp_replace(regexp_replace(nfc_normalize(coalesce(text, '')), '[\u200c\u200d]', '', 'g'), '^\\s+|\\s+$', '', 'g')) AS norm_md5 FROM documents""")
 def normalise_nfc(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", F.md5(X.norm(F.col("text"), joiners=True).cast("binary")).alias("norm_md5"))
 
 
-@query()
+_DIGIT = "[०-९0-9]"
+_MARK = rf"(?:[।॥]\s*{_DIGIT}+(?:\s*[.,\-]\s*{_DIGIT}+){{0,2}}\s*[।॥]*|\s{_DIGIT}+(?:\s*[.,\-]\s*{_DIGIT}+){{0,2}}\s*[।॥]+)"
+_BARE = rf"\s(?:{_DIGIT}+,)?(?:{_DIGIT}+[.\-]){{0,2}}{_DIGIT}+\s*$"
+
+
+@query(f"""
+WITH l AS (SELECT doc_id, unnest(ls) AS raw, generate_subscripts(ls, 1) AS ln FROM (SELECT doc_id, string_split(replace(coalesce(text, ''), chr(10), ' ॥ ७ ॥' || chr(10)), chr(10)) AS ls FROM documents)),
+     t AS (SELECT doc_id, ln, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS line FROM l),
+     k AS (SELECT *, regexp_matches(line, ',$') AS reset FROM t WHERE line <> '' AND NOT regexp_matches(line, '^(?:\\{{\\{{|\\}}\\}}|\\||\\[\\[|<|\\(|$|''$|=)')),
+     m AS (SELECT *, CASE WHEN NOT regexp_matches(line, '{_MARK}') AND regexp_matches(line, '{_BARE}') THEN '{_BARE}' ELSE '{_MARK}' END AS pat FROM k),
+     p AS (SELECT doc_id, ln, reset, CASE WHEN reset THEN [''] WHEN pat = '{_BARE}' THEN string_split_regex(line, '{_BARE}') ELSE string_split_regex(line, '{_MARK}') END AS bodies,
+                  CASE WHEN reset THEN [] WHEN pat = '{_BARE}' THEN regexp_extract_all(line, '{_BARE}') ELSE regexp_extract_all(line, '{_MARK}') END AS marks FROM m),
+     c AS (SELECT doc_id, ln, reset, unnest(bodies) AS body, unnest(list_resize(marks, len(bodies), NULL)) AS mark, generate_subscripts(bodies, 1) AS piece FROM p),
+     w AS (SELECT *, coalesce(sum((mark IS NOT NULL OR reset)::INT) OVER (PARTITION BY doc_id ORDER BY ln, piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS wait FROM c),
+     g AS (SELECT doc_id, wait, max(mark) AS mark, max(ln) FILTER (WHERE mark IS NOT NULL) AS ln,
+                  string_agg(regexp_replace(body, '^\\s+|\\s+$', '', 'g'), ' ' ORDER BY ln, piece) FILTER (WHERE regexp_replace(body, '^\\s+|\\s+$', '', 'g') <> '') AS body FROM w GROUP BY 1, 2),
+     v AS (SELECT doc_id, wait, ln, regexp_replace(trim(body, ' ।॥'), '\\s+', ' ', 'g') AS text, list_transform(regexp_extract_all(mark, '{_DIGIT}+'), lambda x: translate(x, '०१२३४५६७८९', '0123456789')::BIGINT) AS ns FROM g WHERE mark IS NOT NULL)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ln, wait) - 1 AS pos, CASE WHEN len(ns) > 1 THEN ns[-2] END AS chapter, ns[-1] AS n, md5(text) AS text_md5 FROM v WHERE text <> ''""")
 def marker_split(spark, sf_dir):
     d = _t(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), "\n", " ॥ ७ ॥\n").alias("text"))
-    return parse.split_marked(d, "doc_id", "text")
+    return parse.split_marked(d, "doc_id", "text").select("doc_id", "pos", "chapter", "n", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 @query("""
@@ -215,7 +211,7 @@ def islands_merge(spark, sf_dir):
 @query("""
 WITH a AS (SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, l_linenumber AS n,
                   lag(l_linenumber) OVER w AS prev, lead(l_linenumber) OVER w AS nxt FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice)),
-     b AS (SELECT *, CASE WHEN n <= 3 AND prev >= 5 AND (nxt IS NULL OR nxt <= n + 2) THEN 1 ELSE 0 END AS s FROM a),
+     b AS (SELECT *, CASE WHEN n <= 3 AND prev >= 5 AND nxt <= n + 2 THEN 1 ELSE 0 END AS s FROM a),
      c AS (SELECT l_suppkey, sum(s) AS starts, count(*) AS n FROM b GROUP BY 1)
 SELECT l_suppkey, starts::BIGINT AS last_run, n FROM c""")
 def restart_runs(spark, sf_dir):
@@ -223,9 +219,16 @@ def restart_runs(spark, sf_dir):
     return out.groupBy("l_suppkey").agg(F.max("run").alias("last_run"), F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("""
+WITH RECURSIVE s AS (SELECT conv_id, turn, turn % 100 AS n, lead(turn % 100) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS nxt, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k FROM conversations),
+ r AS (SELECT conv_id, k, turn, n FROM s WHERE k = 1
+       UNION ALL
+       SELECT s.conv_id, s.k, s.turn, CASE WHEN (s.n < r.n + 1 AND r.n + 1 >= 100 AND (r.n + 1 - s.n) % 100 = 0) OR (s.n < r.n AND s.nxt = r.n + 2) THEN r.n + 1 ELSE s.n END
+       FROM r JOIN s ON s.conv_id = r.conv_id AND s.k = r.k + 1)
+SELECT conv_id, turn, n FROM r""")
 def number_repair(spark, sf_dir):
-    return sequence.repair_numbers(_t(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("turn") % 100).alias("n")), ["conv_id"], ["turn"], "n")
+    turns = _t(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", (F.col("turn") % 100).alias("n"))
+    return sequence.repair_numbers(turns, ["conv_id"], ["turn", "role", "text"], "n").select("conv_id", "turn", "n")
 
 
 @query("""
@@ -263,7 +266,13 @@ def budget_prefix(spark, sf_dir):
     return sequence.budget_prefix(_t(spark, sf_dir, "documents"), ["source"], ["doc_id"], "n_chars", 50000).select("source", "doc_id", "running")
 
 
-@query()
+@query("""
+WITH RECURSIVE s AS (SELECT p_brand AS work, p_partkey AS chapter, p_retailprice AS cost, row_number() OVER (ORDER BY p_brand, p_partkey) AS k FROM part),
+ r AS (SELECT k, work, chapter, cost, cost <= 100000.0 AS ok, CASE WHEN cost <= 100000.0 THEN cost ELSE 0.0 END AS spent, cost > 100000.0 AS shut FROM s WHERE k = 1
+       UNION ALL
+       SELECT s.k, s.work, s.chapter, s.cost, f.ok, r.spent + CASE WHEN f.ok THEN s.cost ELSE 0.0 END, NOT f.ok
+       FROM r JOIN s ON s.k = r.k + 1, LATERAL (SELECT NOT (r.shut AND r.work = s.work) AND r.spent + s.cost <= 100000.0 AS ok) f)
+SELECT work, chapter, cost FROM r WHERE ok""")
 def budget_plan(spark, sf_dir):
     chapters = _t(spark, sf_dir, "part").select(F.col("p_brand").alias("work"), F.col("p_partkey").alias("chapter"), F.col("p_retailprice").alias("cost"))
     return cards.plan(chapters, 100_000.0, ["work", "chapter"], "work", "cost").select("work", "chapter", "cost")
@@ -333,19 +342,14 @@ def dense_topk_filtered(spark, sf_dir):
     return retrieve.dense_topk(_units(spark, sf_dir), _asked(spark, sf_dir), same_work=True).select("query_id", "doc_id", "score", "rank")
 
 
-@query(_SIM + """, m AS (SELECT query_id, vec_id, CASE WHEN label = qwork THEN score ELSE -1.0 END AS score FROM dense WHERE rank <= 240)
-SELECT query_id, vec_id::VARCHAR AS doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id::VARCHAR) AS rank FROM m) WHERE rank <= 30""")
-def dense_topk_masked(spark, sf_dir):
-    asked, units = _asked(spark, sf_dir), _units(spark, sf_dir)
-    scores = retrieve.dense_topk(units, asked, pool=240).select("query_id", "doc_id", "score")
-    met = scores.join(units.select("doc_id", "work"), "doc_id").join(asked.select("query_id", F.col("work").alias("hint")), "query_id")
-    return retrieve.masked(met, F.col("work") == F.col("hint"), 30).select("query_id", "doc_id", "score", "rank")
+_MASKED = _SIM + """, m AS (SELECT query_id, vec_id, CASE WHEN label = qwork THEN score ELSE -1.0 END AS score FROM s),
+     c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM m),
+     masked AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id::VARCHAR) AS rank FROM c WHERE r <= 240)
+"""
 
 
-@query(_SIM + """, m AS (SELECT query_id, vec_id, CASE WHEN label = qwork THEN score ELSE -1.0 END AS score FROM s),
-     c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM m)
-SELECT query_id, vec_id::VARCHAR AS doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id::VARCHAR) AS rank FROM c WHERE r <= 240) WHERE rank <= 30""")
-def dense_topk_masked_first(spark, sf_dir):
+@query(_MASKED + "SELECT query_id, vec_id::VARCHAR AS doc_id, score, rank FROM masked WHERE rank <= 30")
+def dense_topk_masked(spark, sf_dir):
     return retrieve.dense_topk(_units(spark, sf_dir), _asked(spark, sf_dir), mask=True).select("query_id", "doc_id", "score", "rank")
 
 
@@ -366,12 +370,12 @@ def rrf_fusion(spark, sf_dir):
     return retrieve.rrf(retrieve.dense_topk(units, asked), retrieve.dense_topk(half(units), half(asked)), 6)
 
 
-@query(_SIM + """, r AS (SELECT query_id, vec_id, max(a) AS a, max(b) AS b FROM (SELECT query_id, vec_id, rank AS a, NULL AS b FROM hint WHERE rank <= 20 UNION ALL SELECT query_id, vec_id, NULL, rank FROM dense WHERE rank <= 20) GROUP BY 1, 2),
+@query(_MASKED + """, r AS (SELECT query_id, vec_id, max(a) AS a, max(b) AS b FROM (SELECT query_id, vec_id, rank AS a, NULL AS b FROM dense WHERE rank <= 20 UNION ALL SELECT query_id, vec_id, NULL, rank FROM masked WHERE rank <= 20) GROUP BY 1, 2),
  f AS (SELECT query_id, vec_id, round(coalesce(1 / (60 + a), 0) + coalesce(1 / (60 + b), 0), 9) AS score, coalesce(a, 20 + b) AS tie FROM r)
 SELECT query_id, vec_id::VARCHAR AS doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, tie, vec_id::VARCHAR) AS rank FROM f) WHERE rank <= 6""")
 def soft_hint_fusion(spark, sf_dir):
     units, asked = _units(spark, sf_dir), _asked(spark, sf_dir)
-    return retrieve.soft_hint(retrieve.dense_topk(units, asked, pool=20, same_work=True), retrieve.dense_topk(units, asked, pool=20), 6)
+    return retrieve.soft_hint(retrieve.dense_topk(units, asked, pool=20), retrieve.dense_topk(units, asked, pool=20, mask=True), 6)
 
 
 def _grams(df: DataFrame, id_: str, name: str) -> DataFrame:
@@ -402,7 +406,17 @@ def band_align(spark, sf_dir):
     return align.band_align(v.where("side = 1"), v.where("side = 0"), 10, 0.1)
 
 
-@query()
+@query("""
+WITH RECURSIVE t AS (SELECT conv_id, turn, regexp_replace(lower(coalesce(text, '')), '[^a-zāīūṛṝḷṃḥśṣñṅṭḍṇ]', '', 'g') AS s FROM conversations),
+ g AS (SELECT conv_id, turn, list_distinct(list_transform(generate_series(1, length(s) - 2), lambda i: substr(s, i, 3))) AS g FROM t),
+ j AS (SELECT a.conv_id, a.turn AS i, b.turn AS j, len(list_intersect(a.g, b.g)) AS inter, len(a.g) + len(b.g) AS total FROM g a JOIN g b ON a.conv_id = b.conv_id WHERE a.turn % 2 = 0 AND b.turn % 2 = 1),
+ p AS (SELECT conv_id, i, j, inter / (total - inter) AS score, row_number() OVER (PARTITION BY conv_id ORDER BY inter / (total - inter) DESC, i DESC, j DESC) AS k FROM j WHERE total > 0 AND inter / (total - inter) >= 0.2 - 1e-12),
+ r AS (SELECT conv_id, 1::BIGINT AS k, i, j, score, true AS ok, [i] AS used, MAP {j: i} AS held FROM p WHERE k = 1
+       UNION ALL
+       SELECT p.conv_id, p.k, p.i, p.j, p.score, f.ok, CASE WHEN f.ok THEN list_append(r.used, p.i) ELSE r.used END, CASE WHEN f.ok AND NOT list_contains(map_keys(r.held), p.j) THEN map_concat(r.held, MAP {p.j: p.i}) ELSE r.held END
+       FROM r JOIN p ON p.conv_id = r.conv_id AND p.k = r.k + 1,
+       LATERAL (SELECT NOT list_contains(r.used, p.i) AND (NOT list_contains(map_keys(r.held), p.j) OR abs(r.held[p.j] - p.i) = 1) AS ok) f)
+SELECT conv_id AS chapter, i, j, score FROM r WHERE ok""")
 def verse_align_greedy(spark, sf_dir):
     t = _t(spark, sf_dir, "conversations")
     side = lambda parity, name: t.where(F.col("turn") % 2 == parity).select(F.col("turn").alias(name), "conv_id", X.gram_set(F.col("text")).alias("grams"))
@@ -412,14 +426,14 @@ def verse_align_greedy(spark, sf_dir):
 
 @query("""
 WITH c AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS quote, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL),
-     s AS (SELECT c.doc_id, c.pos, regexp_replace(quote, '[\\s।॥|.,;:!?-]+', '', 'g') AS q, regexp_replace(coalesce(d.text, ''), '[\\s।॥|.,;:!?-]+', '', 'g') AS p, d.doc_id AS given FROM c LEFT JOIN documents d ON d.doc_id = c.doc_id + c.pos % 2)
+     s AS (SELECT c.doc_id, c.pos, regexp_replace(nfc_normalize(quote), '[\\s।॥|.,;:!?-]+', '', 'g') AS q, regexp_replace(nfc_normalize(coalesce(d.text, '')), '[\\s।॥|.,;:!?-]+', '', 'g') AS p, d.doc_id AS given FROM c LEFT JOIN documents d ON d.doc_id = c.doc_id + c.pos % 2)
 SELECT doc_id, pos, CASE WHEN given IS NULL THEN 'not in retrieved chapters' WHEN length(q) >= 8 AND contains(p, q) THEN 'verified' ELSE 'not verbatim' END AS status FROM s""")
 def verbatim_verify(spark, sf_dir):
     d = _t(spark, sf_dir, "documents")
     c = d.where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "quote")).select("doc_id", (F.col("pos") + 1).cast("bigint").alias("pos"), "quote")
-    met = c.withColumn("cited", F.col("doc_id") + F.col("pos") % 2).join(d.select(F.col("doc_id").alias("given"), X.squash(F.coalesce("text", F.lit(""))).alias("p")), F.col("cited") == F.col("given"), "left")
-    status = F.when(F.col("given").isNull(), "not in retrieved chapters").when(X.quoted_in(F.col("p"), F.col("quote"), squashed=True), "verified").otherwise("not verbatim")
-    return met.select("doc_id", "pos", status.alias("status"))
+    cited = c.select("doc_id", "pos", "quote", (F.col("doc_id") + F.col("pos") % 2).alias("given"))
+    passages = d.select(F.col("doc_id").alias("given"), F.coalesce("text", F.lit("")).alias("text"))
+    return qa.checked(cited, passages, ["doc_id", "pos"]).select("doc_id", "pos", "status")
 
 
 @query(_SIM + """, gold AS (SELECT query_id, qwork AS kind, vec_id FROM s WHERE label = qwork AND vec_id <> query_id),
@@ -444,13 +458,35 @@ def stratified_sample(spark, sf_dir):
     return evaluate.stratified(_t(spark, sf_dir, "documents").select("lang", "doc_id"), "lang", "doc_id", 25)
 
 
-@query()
+_HYBRID = _BM25 + """,
+ asked AS (SELECT b.item_id AS query_id, e.label::VARCHAR AS work, e.embedding AS e FROM benchmark b LEFT JOIN embeddings e ON e.vec_id = b.item_id),
+ cand AS (SELECT query_id, doc_id, coalesce(score, 0.0) AS score FROM (SELECT query_id, doc_id FROM asked, documents) LEFT JOIN s USING (query_id, doc_id) {where}),
+ lex AS (SELECT query_id, doc_id::VARCHAR AS id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM cand),
+ sims AS (SELECT query_id, vec_id, {score} AS score FROM asked, embeddings WHERE e IS NOT NULL),
+ unit AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM sims),
+ den AS (SELECT query_id, vec_id::VARCHAR AS id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id::VARCHAR) AS rank FROM unit WHERE r <= 240),
+ r AS (SELECT query_id, id, max(a) AS a, max(b) AS b FROM (SELECT query_id, id, rank AS a, NULL AS b FROM den WHERE rank <= 30 UNION ALL SELECT query_id, id, NULL, rank FROM lex WHERE rank <= 30) GROUP BY 1, 2),
+ f AS (SELECT query_id, id, round(coalesce(1 / (60 + a), 0) + coalesce(1 / (60 + b), 0), 9) AS score, coalesce(a, 30 + b) AS tie FROM r)
+SELECT query_id, id AS doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, tie, id) AS rank FROM f) WHERE rank <= 6"""
+_INNER = "round(list_inner_product(e::DOUBLE[], embedding::DOUBLE[]), 6) + 0"
+
+
+def _hybrid(spark, sf_dir, same_work):
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 10).cast("string").alias("work"))
+    vec = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("label").cast("string").alias("work"), "embedding")
+    asked = _t(spark, sf_dir, "benchmark").join(vec, "item_id", "left").select(F.col("item_id").alias("query_id"), "text", "work", "embedding")
+    return retrieve.hybrid_search(docs, _units(spark, sf_dir), asked, same_work=same_work)
+
+
+@query(_HYBRID.replace("{where}", "").replace("{score}", _INNER))
 def hybrid_search(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents")
-    vec = _t(spark, sf_dir, "embeddings")
-    units = vec.select(F.col("vec_id").alias("unit_id"), F.col("vec_id").cast("string").alias("doc_id"), F.col("label").cast("string").alias("work"), "embedding")
-    asked = _t(spark, sf_dir, "benchmark").join(vec.withColumnRenamed("vec_id", "item_id"), "item_id").select(F.col("item_id").alias("query_id"), "text", F.col("label").cast("string").alias("work"), "embedding")
-    return retrieve.hybrid_search(docs, units, asked)
+    return _hybrid(spark, sf_dir, False)
+
+
+@query(_HYBRID.replace("{where}", "JOIN asked USING (query_id) WHERE (doc_id % 10)::VARCHAR = work").replace("{score}", f"CASE WHEN label::VARCHAR = work THEN {_INNER} ELSE -1.0 END"))
+def hybrid_search_in_work(spark, sf_dir):
+    """Both lists of the query's work: the dense one masked before the cut, the lexical one strict."""
+    return _hybrid(spark, sf_dir, True)
 
 
 # ---------------------------------------------------------------- records and answers
@@ -485,10 +521,21 @@ def embedding_cache_antijoin(spark, sf_dir):
     return retrieve.embedding_misses(d, cache).select("key")
 
 
-@query()
+@query(_BM25 + """, ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s),
+ quoted AS (SELECT query_id, length(regexp_replace(nfc_normalize(array_to_string(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda w: w <> '')[1:6], ' ')), '[\\s।॥|.,;:!?-]+', '', 'g')) >= 8 AS ok
+            FROM ranked JOIN documents USING (doc_id) WHERE rank <= 3),
+ n AS (SELECT query_id, count(*) AS given, count(*) FILTER (WHERE ok) AS good FROM quoted GROUP BY 1)
+SELECT item_id AS query_id, CASE WHEN trim(coalesce(text, '')) = '' THEN 'out_of_scope' ELSE 'story' END AS route,
+       CASE WHEN trim(coalesce(text, '')) <> '' AND good > 0 THEN 'answered' ELSE 'refused' END AS status,
+       CASE WHEN trim(coalesce(text, '')) <> '' THEN coalesce(good, 0) ELSE 0 END::INT AS n_verified,
+       CASE WHEN trim(coalesce(text, '')) = '' OR given IS NULL THEN 0 WHEN good = given THEN 1 ELSE 2 END AS attempts
+FROM benchmark b LEFT JOIN n ON n.query_id = b.item_id""")
 def qa_answers(spark, sf_dir):
     ranking = bm25_topk(spark, sf_dir).where("rank <= 3")
     d = _t(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     passages = ranking.join(d, "doc_id").select("query_id", F.col("doc_id").cast("string").alias("verse_id"), "text", "rank")
     out = qa.answer(_t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), passages, qa.OfflineClient())
     return out.select("query_id", "route", "status", F.size("verified").alias("n_verified"), "attempts")
+
+
+from . import catalog_corpus  # noqa: E402, F401  (registers its queries)

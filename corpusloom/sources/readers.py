@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import text as X
+
 
 def jsonl(spark: SparkSession, paths: str | list[str], schema) -> DataFrame:
     """JSON lines of one or several parts; blank lines are skipped, the schema is given, not inferred."""
@@ -36,24 +39,35 @@ def json_map(spark: SparkSession, path: str, value: str) -> DataFrame:
     return df.select(F.explode(F.from_json("value", f"map<string,{value}>")))
 
 
+def with_header(rows: DataFrame, value: str, header: str) -> DataFrame:
+    """The fields of a JSON header in the first line of ``value``, and the rest as ``body``."""
+    parts = F.split(value, "\n", 2)
+    return rows.select(F.from_json(F.get(parts, 0), header).alias("h"), F.coalesce(F.get(parts, 1), F.lit("")).alias("body")).select("h.*", "body")
+
+
 def pages(spark: SparkSession, path: str, header: str) -> DataFrame:
     """Files whose first line is a JSON header: its fields and ``body``."""
-    parts = F.split("value", "\n", 2)
-    df = spark.read.text(path, wholetext=True).select(F.from_json(F.get(parts, 0), header).alias("h"), F.coalesce(F.get(parts, 1), F.lit("")).alias("body"))
-    return df.select("h.*", "body")
+    return with_header(spark.read.text(path, wholetext=True), "value", header)
+
+
+def after(text: Column, marker: str) -> Column:
+    """What follows the first ``marker``, or the whole text without one."""
+    return F.when(F.contains(text, F.lit(marker)), F.substr(text, F.instr(text, marker) + len(marker))).otherwise(text)
+
+
+def between(text: Column, start: str = r"\*\*\* START OF[^\n]*\n", end: str = r"\*\*\* END OF") -> Column:
+    """The body between two marks, without byte-order mark and carriage returns."""
+    return F.regexp_extract(F.translate(text, "\r\ufeff", ""), f"(?s){start}(.*?)(?:{end}|$)", 1)
 
 
 def text_after(spark: SparkSession, path: str, marker: str) -> DataFrame:
-    """(path, text): what follows the first ``marker``, or the whole text without one."""
-    df = spark.read.text(path, wholetext=True)
-    return df.select(F.col("_metadata.file_path").alias("path"), F.when(F.contains("value", F.lit(marker)), F.substring_index("value", marker, -1)).otherwise(F.col("value")).alias("text"))
+    """(path, text) of files: what follows the first ``marker``."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), after(F.col("value"), marker).alias("text"))
 
 
-def text_between(spark: SparkSession, path: str, start: str = r"\*\*\* START OF[^\n]*\n", end: str = r"\*\*\* END OF") -> DataFrame:
-    """(path, text): the body between two marks, without byte-order mark and carriage returns."""
-    df = spark.read.text(path, wholetext=True)
-    clean = F.translate("value", "\r﻿", "")
-    return df.select(F.col("_metadata.file_path").alias("path"), F.regexp_extract(clean, f"(?s){start}(.*?)(?:{end}|$)", 1).alias("text"))
+def text_between(spark: SparkSession, path: str) -> DataFrame:
+    """(path, text) of files: the body between two marks."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), between(F.col("value")).alias("text"))
 
 
 def not_cached(wanted: DataFrame, cached: DataFrame, key: str) -> DataFrame:
@@ -61,6 +75,41 @@ def not_cached(wanted: DataFrame, cached: DataFrame, key: str) -> DataFrame:
     return wanted.join(cached.select(key), key, "left_anti")
 
 
+PAGE = "slug string, title string, url string, body string"
+
+
+def fetch_pages(titles: DataFrame, cache: str, fetch, base_url: str = "") -> DataFrame:
+    """Pages of all ``titles`` (title) from a cache of ``PAGE`` rows, which first gains those that it lacks.
+
+    ``fetch(title) -> text`` is the only outside contact, and is tried again after failures. A page is known by
+    the first 16 hex digits of its title's SHA-1, so that a run that stopped half way goes on where it was.
+    """
+    spark = titles.sparkSession
+    named = titles.select("title").distinct().withColumn("slug", X.slug(X.norm(F.col("title"), joiners=True)))
+    call = with_retry(fetch)
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf.assign(body=[call(t) for t in pdf["title"]])
+
+    try:
+        missing = not_cached(named, spark.read.schema(PAGE).parquet(cache), "slug")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        missing = named
+    got = missing.withColumn("url", F.concat(F.lit(base_url), X.url_title(F.replace("title", F.lit(" "), F.lit("_"))))).select("slug", "title", "url").mapInPandas(run, PAGE)
+    got.write.mode("append").parquet(cache)
+    return spark.read.schema(PAGE).parquet(cache).join(named.select("slug"), "slug", "left_semi")
+
+
+def snapshot(spark: SparkSession, folder: str, to: str) -> DataFrame:
+    """(path, length, sha256) of every file below ``folder``, stored at ``to``: what a run was made from."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    files.select("path", "length", F.sha2("content", 256).alias("sha256")).write.mode("overwrite").parquet(to)
+    return spark.read.parquet(to)
+
+
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, sha256) of every file."""
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
@@ -70,9 +119,20 @@ VECTORS = T.StructType([T.StructField("unit_id", T.LongType()), T.StructField("d
 
 
 def vectors(spark: SparkSession, path: str) -> DataFrame:
+    """An index's unit vectors with their metadata."""
     return spark.read.schema(VECTORS).parquet(path)
 
 
+def matrix(units: DataFrame, limit: int = 2_000_000):
+    """(ids, float32 matrix) of an index that fits the driver, by unit; more than ``limit`` units are refused."""
+    import numpy as np
+
+    if (n := units.count()) > limit:
+        raise ValueError(f"{n} units are too many for one matrix; use retrieve.dense_topk")
+    held = units.select("unit_id", "embedding").orderBy("unit_id").toPandas()
+    return held["unit_id"].to_numpy(np.int64), np.array(held["embedding"].tolist(), np.float32).reshape(len(held), -1)
+
+
 def listed(spark: SparkSession, fetch, prefixes: list[str], page: int = 500) -> DataFrame:
     """(prefix, title) from a paged listing: ``fetch(prefix, token, page) -> (titles, next token)``.
 
