@@ -23,8 +23,7 @@ def vocabulary() -> str:
 
 def op1_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = langid.fit(docs, fold("doc_id", 3) != 1, per_lang=2000)
-    found = langid.identify(docs, spark.sparkContext.broadcast(model))
+    found = langid.identify(docs, langid.fit(docs, fold("doc_id", 3) != 1, per_lang=2000))
     return found.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(True)).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 

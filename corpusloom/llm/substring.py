@@ -39,6 +39,8 @@ row's work. An empty table gives no rows. Extra columns are carried by
 
 from __future__ import annotations
 
+from copy import copy
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -95,10 +97,14 @@ def _slide(best: np.ufunc, values: np.ndarray) -> np.ndarray:
 class Phrases:
     """Phrases of all documents: document, number in it, words and their quarters, digest, byte range."""
 
-    def __init__(self, buf: np.ndarray, off: np.ndarray):
-        words = _arrow.Words(buf, off)
-        words.start, words.end, quarters = _spaceless(words)
-        words.doc = np.searchsorted(off, words.start, "right") - 1
+    def __init__(self, words: _arrow.Words, h: np.ndarray):
+        buf, off = words.buf, words.off
+        start, end, quarters = _spaceless(words)
+        if len(start) != len(words.start):
+            words = copy(words)
+            words.start, words.end = start, end
+            words.doc = np.searchsorted(off, words.start, "right") - 1
+            h = words.hashes(lower=True)
         self.docs, n = words.docs, len(words.start)
         if not n:
             self.doc = self.pos = self.size = self.quarters = self.start = self.end = np.zeros(0, np.int64)
@@ -107,7 +113,6 @@ class Phrases:
         feeds = np.concatenate([[0], np.cumsum(buf == 10)])
         hard = np.ones(n, bool)  # the line or the document ends after this word
         hard[:-1] = (words.doc[1:] != words.doc[:-1]) | (feeds[words.start[1:]] > feeds[words.end[:-1]])
-        h = words.hashes(lower=True)
         sentence = hard | _STOP[buf[words.end - 1]]
         pair = np.full(n, ~np.uint64(0))
         pair[1:] = _arrow.mix(h[:-1] * _FACTOR + h[1:]) | np.uint64(1)
@@ -142,8 +147,8 @@ _LINE, _PARAGRAPH = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 class Lines:
     """Lines, or paragraphs, with a word: document, number in it, words, two digests, byte range with the line break."""
 
-    def __init__(self, buf: np.ndarray, off: np.ndarray, paragraph: bool):
-        words = _arrow.Words(buf, off)
+    def __init__(self, words: _arrow.Words, h: np.ndarray, paragraph: bool):
+        buf, off = words.buf, words.off
         feed = np.flatnonzero(buf == 10)
         # a text's end bounds its last line; empty texts have no words and so no line
         line_end = np.unique(np.concatenate([feed + 1, off[1:]]))
@@ -159,7 +164,7 @@ class Lines:
         self.pos = np.arange(len(first)) - np.searchsorted(self.doc, np.arange(words.docs))[self.doc]
         self.digest = self.more = np.zeros(0, np.uint64)
         if len(first):
-            h, kind = words.hashes(lower=True), _PARAGRAPH if paragraph else _LINE
+            kind = _PARAGRAPH if paragraph else _LINE
             place = np.arange(len(h), dtype=np.uint64) - np.repeat(first, self.size).astype(np.uint64)
             halves = [np.add.reduceat(_arrow.mix(_arrow.mix(h + salt) ^ (place * _FACTOR + salt)), first) for salt in (kind, ~kind)]
             self.digest, self.more = (_arrow.mix(x + self.size.astype(np.uint64)) for x in halves)
@@ -168,8 +173,11 @@ class Lines:
 KINDS = ("line", "paragraph", "phrase")
 
 
-def _of(kind: str, buf: np.ndarray, off: np.ndarray):
-    return Phrases(buf, off) if kind == "phrase" else Lines(buf, off, kind == "paragraph")
+def _found(kinds: tuple[str, ...], buf: np.ndarray, off: np.ndarray) -> list[tuple[str, Phrases | Lines]]:
+    """The units of each kind, from words that are found and hashed once."""
+    words = _arrow.Words(buf, off)
+    h = words.hashes(lower=True)
+    return [(kind, Phrases(words, h) if kind == "phrase" else Lines(words, h, kind == "paragraph")) for kind in kinds]
 
 
 def _place(kind: str, pos: np.ndarray) -> np.ndarray:
@@ -190,8 +198,7 @@ def units(docs: DataFrame, kinds: tuple[str, ...], min_words: int) -> DataFrame:
         for batch in batches:
             salt = batch.column(2).to_numpy().astype(np.int64) << 32
             for first, end, buf, off in _arrow.chunks(batch.column(3)):
-                for kind in kinds:
-                    u = _of(kind, buf, off)
+                for kind, u in _found(kinds, buf, off):
                     ok = np.ones(len(u.doc), bool) if kind == "phrase" else u.size >= min_words
                     doc = u.doc[ok]
                     more = np.zeros(len(doc), np.int64) if kind == "phrase" else u.more[ok].astype(np.int64)
@@ -253,16 +260,21 @@ def _dropped(docs: DataFrame, id_col: str, text_col: str, kinds: tuple[str, ...]
             text, removed = [], []
             flags = batch.column(2)
             for first, end, buf, off in _arrow.chunks(batch.column(1)):
-                some = flags.slice(first, end - first).is_valid().to_numpy(zero_copy_only=False)
-                found = [(kind, _of(kind, buf, off)) for kind in kinds] if some.any() else []
+                some = np.flatnonzero(flags.slice(first, end - first).is_valid().to_numpy(zero_copy_only=False))
+                # units of the texts that have repeats, side by side
+                size = np.diff(off)[some]
+                base = np.concatenate([[0], np.cumsum(size)])
+                mine = np.concatenate([buf[off[i] : off[i + 1]] for i in some]) if len(some) else buf[:0]
+                found = _found(kinds, mine, base) if len(some) else []
+                row = dict(zip(some.tolist(), range(len(some)), strict=True))
                 data = buf.tobytes()
                 for i in range(end - first):
                     own = data[off[i] : off[i + 1]]
                     spans: list = []
-                    if some[i]:
-                        at, parts = 0, []
-                        for s, e in _cut(found, i, flags[first + i].values.to_numpy(), buf, off, min_run):
-                            s, e = s - int(off[i]), e - int(off[i])
+                    if i in row:
+                        at, parts, k = 0, [], row[i]
+                        for s, e in _cut(found, k, flags[first + i].values.to_numpy(), mine, base, min_run):
+                            s, e = s - int(base[k]), e - int(base[k])
                             parts.append(own[at:s])
                             start = (spans[-1]["end"] if spans else 0) + len(own[at:s].decode())
                             spans.append({"start": start, "end": start + len(own[s:e].decode())})

@@ -523,13 +523,28 @@ def test_code_lengths_are_those_of_method_c():
     assert np.allclose(got, [[bits("a", t), bits("b", t)] for t in tests], atol=1e-3)
 
 
+def test_groups_of_languages_say_the_same(spark, docs, monkeypatch):
+    """However languages are dealt, and a text is sliced, the label is that of the shortest code of brute force."""
+    whole = {r["doc_id"]: r for r in langid.identify(docs, langid.fit(docs, F.lit(True), per_lang=20)).collect()}
+    monkeypatch.setattr(langid, "GRAMS", 1500)
+    monkeypatch.setattr(langid, "SLICE", 1)
+    trees = langid.fit(docs, F.lit(True), per_lang=20)
+    assert trees.groups == 4
+    models = [trees.model(g) for g in range(4)]
+    for r in langid.identify(docs, trees).collect():
+        one = whole[r["doc_id"]]
+        assert r["lang_pred"] == one["lang_pred"] and r["score"] == pytest.approx(one["score"], abs=1e-6) and r["bits_per_byte"] == pytest.approx(one["bits_per_byte"], rel=1e-5)
+    text = np.frombuffer(docs.where("doc_id = 3").head()["text"].encode(), np.uint8)
+    bits = {m.langs[0]: langid.code_lengths(m, text, np.array([0, len(text)]))[0, 0] for m in models}
+    assert min(bits, key=bits.get) == whole[3]["lang_pred"]
+
+
 def test_language_of_odd_rows(spark, odd):
-    model = langid.fit(odd, F.lit(True))
-    got = langid.identify(odd, spark.sparkContext.broadcast(model)).collect()
+    got = langid.identify(odd, langid.fit(odd, F.lit(True))).collect()
     assert len(got) == odd.count()
     assert all((r["lang_pred"] == "und") == (r["doc_id"] in (1, 2, 6, 7) or (r["doc_id"] is None and r["score"] == 0)) for r in got)
     assert langid.fit(odd.limit(0), F.lit(True)) is None
-    none = langid.identify(odd, spark.sparkContext.broadcast(None)).collect()
+    none = langid.identify(odd, None).collect()
     assert all(r["lang_pred"] == "und" and r["score"] == 0 for r in none)
 
 
