@@ -1,10 +1,16 @@
 """Quality classifier: random-indexing word vectors, pooled, and a two-layer network.
 
-Random indexing: every word has a fixed sparse ternary index vector, and its word
-vector is the sum of the index vectors of its neighbours over the whole corpus,
-so that vectors are sums and need one pass. Words share a fixed number of hash
-buckets, which bounds the table at any corpus size; the first buckets are kept
-for word shapes (which kinds of characters a word has), which have neighbours too.
+Random indexing: every word has a fixed sparse ternary index vector, drawn from its
+hash, and its word vector is the sum of the index vectors of its neighbours over the
+whole corpus. Sums need one pass and combine before the shuffle. A word found at
+least ``LEAST`` times in the corpus has a vector of its own, however many such words
+there are; rarer ones, whose sums would say little, share ``RARE`` buckets by their
+hash. Word shapes (which kinds of characters a word has) have neighbours and vectors
+too.
+
+Words are counted first. Up to ``WORDS`` vectors go to every task; beyond that number
+texts are dealt into groups of bounded bytes, and each group meets the vectors of its
+own words in a cogrouped join. Both ways give the same features.
 
 A document is the mean of its words' vectors, of its shapes' vectors, and of the
 products of adjacent words' vectors. A network of one hidden layer gives a
@@ -13,7 +19,8 @@ Labels are seen for at most ``max_labels`` documents; vectors count all texts.
 
 Null and empty texts pool to zero and get the score of such a document. Repeated
 rows get equal scores and count as often as they occur in the vectors. Very long
-texts are one row's work. Without labels of both kinds the score is the share of
+texts are one row's work. Of a labelled id with several texts, the one with the least
+hash is learned from. Without labels of both kinds the score is the share of
 label 1, or 0.5. An empty table gives no rows. Extra columns are ignored.
 """
 
@@ -28,8 +35,13 @@ from pyspark.sql import functions as F
 
 from . import _arrow
 from ._labels import labelled
+from ._shared import Scratch
 
-DIMS, SHAPES, BUCKETS = 32, 64, 8192
+DIMS, SHAPES, RARE = 32, 64, 4096
+#: Occurrences that give a word a vector of its own, and vectors that go to every task (72 bytes each).
+LEAST, WORDS = 100, 1_000_000
+#: Bytes of text in a group that meets its vectors by a join.
+GROUP_BYTES = 16 << 20
 
 _SHAPE = np.full(256, 32, np.uint8)
 _SHAPE[97:123] = 1
@@ -40,66 +52,141 @@ _SHAPE[list(b"#*$%&|<>")] = 16
 
 
 def _tokens(buf: np.ndarray, off: np.ndarray) -> tuple[_arrow.Words, np.ndarray, np.ndarray]:
-    """The words, their buckets and their shapes' buckets."""
+    """The words, their hashes and their shapes. Hashes are greater than any shape or bucket."""
     words = _arrow.Words(buf, off)
-    bucket = (words.hashes(lower=True) % np.uint64(BUCKETS - SHAPES)).astype(np.int64) + SHAPES
-    if not len(bucket):
-        return words, bucket, bucket
+    h = words.hashes(lower=True) | np.uint64(1 << 32)
+    if not len(h):
+        return words, h, h.astype(np.int64)
     both = np.stack([words.start, words.end], axis=1).reshape(-1)
     last = both[-1] == len(buf)
     kind = np.bitwise_or.reduceat(_SHAPE[buf], both[:-1] if last else both)[::2]
-    return words, bucket, kind.astype(np.int64) & (SHAPES - 1)
+    return words, h, kind.astype(np.int64) & (SHAPES - 1)
 
 
-def _index() -> tuple[np.ndarray, np.ndarray]:
-    """Two dimensions that are +1 and two that are -1 for each bucket."""
-    pick = np.argsort(np.random.default_rng(11).random((BUCKETS, DIMS)), axis=1)[:, :4]
-    return pick[:, :2], pick[:, 2:]
+def index(h: np.ndarray) -> np.ndarray:
+    """[4, word]: two dimensions that are +1 and two that are -1, all different, of each hash."""
+    m = _arrow.mix(h)
+    out = np.stack([((m >> np.uint64(16 * k)) % np.uint64(DIMS - k)).astype(np.int64) for k in range(4)])
+    for k in range(1, 4):  # the k-th draw counts the dimensions that are left
+        for taken in np.sort(out[:k], axis=0):
+            out[k] += out[k] >= taken
+    return out
+
 
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return SHAPES + (h % np.uint64(RARE)).astype(np.int64)
 
-def word_vectors(docs: DataFrame) -> np.ndarray:
-    """Unit vectors of all buckets from the neighbours in every text of ``docs``.
 
-    Each task sums its own rows into one table of fixed size; the tables are then
-    summed bucket by bucket.
-    """
+def count_words(docs: DataFrame) -> DataFrame:
+    """(word, n): how often each word, by its hash, is in the texts."""
 
     def run(batches):
-        plus, minus = _index()
-        total = np.zeros(BUCKETS * DIMS, np.int64)
+        for batch in batches:
+            for _, _, buf, off in _arrow.chunks(batch.column(0)):
+                word, n = np.unique(_tokens(buf, off)[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
+
+    return docs.select("text").mapInArrow(_arrow.tidy(run), "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+_NAMES = [f"v{k}" for k in range(DIMS)]
 
-        def learn(word, near, turn):
-            for k in range(2):
-                total[:] += np.bincount(word * DIMS + (plus[near, k] + turn) % DIMS, minlength=len(total))
-                total[:] -= np.bincount(word * DIMS + (minus[near, k] + turn) % DIMS, minlength=len(total))
 
+def _sums(docs: DataFrame, frequent) -> DataFrame:
+    """(key, v0, ...): neighbours of shapes, of rare words by bucket, and of each word in ``frequent`` (a broadcast, sorted; None for all words)."""
+
+    def run(batches):
+        known = None if frequent is None else frequent.value
         for batch in batches:
             for _, _, buf, off in _arrow.chunks(batch.column(0)):
-                words, w, s = _tokens(buf, off)
+                words, h, shape = _tokens(buf, off)
+                if not len(h):
+                    continue
+                key = h.astype(np.int64)
+                if known is not None:
+                    at = np.minimum(np.searchsorted(known, key), max(0, len(known) - 1))
+                    key = np.where(known[at] == key, key, _bucket(h)) if len(known) else _bucket(h)
+                keys, place = np.unique(np.concatenate([key, shape]), return_inverse=True)
+                w, s = place[: len(h)], place[len(h) :]
+                of_word, of_shape = index(h), index(shape.astype(np.uint64))
+                total = np.zeros(len(keys) * DIMS, np.int64)
                 pair = np.flatnonzero(words.doc[1:] == words.doc[:-1])
-                learn(w[pair], w[pair + 1], 1)
-                learn(w[pair + 1], w[pair], 0)
-                learn(w, s, 2)
-                learn(s, w, 3)
-                learn(s[pair], s[pair + 1], 1)
-                learn(s[pair + 1], s[pair], 0)
-        table = total.reshape(BUCKETS, DIMS)
-        used = np.flatnonzero(table.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), *(pa.array(table[used, k]) for k in range(DIMS))], ["bucket", *names])
-
-    names = [f"v{k}" for k in range(DIMS)]
-    parts = docs.select("text").mapInArrow(_arrow.tidy(run), "bucket bigint, " + ", ".join(f"{n} bigint" for n in names))
-    rows = parts.groupBy("bucket").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
-    out = np.zeros((BUCKETS, DIMS))
-    out[rows["bucket"].to_numpy(np.int64)] = rows[names].to_numpy(np.float64)
-    out = np.sign(out) * np.log1p(np.abs(out))
-    out -= out[out.any(axis=1)].mean(axis=0) if out.any() else 0
-    return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)
-
-
-def pooled(buf: np.ndarray, off: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+                # who learns, from which index vectors, turned by how much: after, before, own shape, own word
+                for who, near, turn in ((w[pair], of_word[:, pair + 1], 1), (w[pair + 1], of_word[:, pair], 0), (w, of_shape, 2), (s, of_word, 3), (s[pair], of_shape[:, pair + 1], 1), (s[pair + 1], of_shape[:, pair], 0)):
+                    for k in range(4):
+                        cell = np.bincount(who * DIMS + (near[k] + turn) % DIMS, minlength=len(total))
+                        total += cell if k < 2 else -cell
+                table = total.reshape(len(keys), DIMS).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), *(pa.array(np.ascontiguousarray(table[:, k])) for k in range(DIMS))], ["key", *_NAMES])
+
+    rows = docs.select("text").mapInArrow(_arrow.tidy(run), "key bigint, " + ", ".join(f"{n} int" for n in _NAMES))
+    return rows.groupBy("key").agg(*[F.sum(n).alias(n) for n in _NAMES])
+
+
+@dataclass
+class Vectors:
+    """(key, v: DIMS half-precision numbers) of shapes, buckets and words, stored; local where they are few."""
+
+    table: DataFrame
+    count: int
+    local: object = None  # a broadcast of (sorted keys, matrix)
+
+
+def word_vectors(docs: DataFrame, least: int | None = None) -> Vectors:
+    """Unit vectors from the neighbours in every text of ``docs``."""
+    least = LEAST if least is None else least
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "vectors")
+    counts = scratch.write(count_words(docs).where(F.col("n") >= least).select("word"), "words")
+    few = counts.count() <= WORDS
+    if few:
+        known = spark.sparkContext.broadcast(np.sort(counts.toPandas()["word"].to_numpy(np.int64)))
+        sums = scratch.write(_sums(docs, known), "sums")
+    else:  # all words, of which the rare ones go to their buckets afterwards
+        every = scratch.write(_sums(docs, None), "every")
+        own = every.join(counts.withColumnRenamed("word", "key"), "key", "left_semi")
+        rest = every.join(counts.withColumnRenamed("word", "key"), "key", "left_anti")
+        bucket = F.when(F.col("key").between(0, SHAPES - 1), F.col("key")).otherwise(SHAPES + F.pmod(F.pmod("key", F.lit(RARE)), F.lit(RARE)))
+        rest = rest.withColumn("key", bucket).groupBy("key").agg(*[F.sum(n).alias(n) for n in _NAMES])
+        sums = scratch.write(own.unionByName(rest), "sums")
+    damped = lambda n: F.signum(n) * F.log1p(F.abs(n))
+    mean = sums.agg(*[F.avg(damped(n)).alias(n) for n in _NAMES]).head()
+    mean = np.array([mean[n] or 0.0 for n in _NAMES])
+
+    def run(batches):
+        for batch in batches:
+            x = np.stack([batch.column(k + 1).to_numpy().astype(np.float64) for k in range(DIMS)], axis=1)
+            x = np.sign(x) * np.log1p(np.abs(x)) - mean
+            x = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)).astype(np.float16)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], ["key", "v"])
+
+    out = Vectors(scratch.write(sums.mapInArrow(run, "key bigint, v binary"), "vectors"), 0)
+    out.count = out.table.count()
+    if few:
+        out.local = spark.sparkContext.broadcast(_matrix(out.table.toArrow()))
+    return out
+
+
+def _matrix(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted keys, their vectors); a vector of zeros at the end stands for what has none."""
+    keys = rows.column("key").to_numpy()
+    order = np.argsort(keys)
+    flat = np.frombuffer(b"".join(rows.column("v").to_pylist()), np.float16).reshape(len(keys), DIMS)
+    return keys[order], np.concatenate([flat[order], np.zeros((1, DIMS), np.float16)])
+
+
+def _lookup(keys: np.ndarray, wanted: np.ndarray, other: np.ndarray | None = None) -> np.ndarray:
+    """Rows of ``wanted`` keys; where there is none, of ``other``; else the last."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    hit = keys[at] == wanted
+    return np.where(hit, at, len(keys) if other is None else _lookup(keys, other)) if not hit.all() else at
+
+
+def pooled(buf: np.ndarray, off: np.ndarray, vectors: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """One row of features for each document."""
-    words, w, s = _tokens(buf, off)
+    words, h, s = _tokens(buf, off)
+    keys, matrix = vectors
     out = np.zeros((words.docs, 3 * DIMS + 1), np.float32)
     out[:, -1] = np.log1p(words.count)
     full = np.flatnonzero(words.count > 0)
@@ -107,11 +194,11 @@ def pooled(buf: np.ndarray, off: np.ndarray, vectors: np.ndarray) -> np.ndarray:
         return out
     n = words.count[full, None].astype(np.float32)
     at = words.first[:-1][full]
-    v = vectors[w]
+    v = matrix[_lookup(keys, h.astype(np.int64), _bucket(h))].astype(np.float32)
     out[full, :DIMS] = np.add.reduceat(v, at, axis=0) / n
     share = np.zeros((words.docs, SHAPES), np.float32)
     np.add.at(share.reshape(-1), words.doc * SHAPES + s, np.float32(1))
-    out[full, DIMS : 2 * DIMS] = share[full] @ vectors[:SHAPES] / n
+    out[full, DIMS : 2 * DIMS] = share[full] @ matrix[_lookup(keys, np.arange(SHAPES))].astype(np.float32) / n
     v[:-1] *= v[1:]
     v[words.first[1:][full] - 1] = 0
     out[full, 2 * DIMS : 3 * DIMS] = np.add.reduceat(v, at, axis=0) / np.maximum(n - 1, 1)
@@ -167,39 +254,72 @@ def train(x: np.ndarray, y: np.ndarray, hidden: int = 24, epochs: int = 60, rate
     return net
 
 
-def _mapped(rows: DataFrame, schema: str, one) -> DataFrame:
-    """Rows with a text in column 1: its pooled features given to ``one(batch, first, end, x)``."""
+def _mapped(rows: DataFrame, vectors: Vectors, schema: str, one) -> DataFrame:
+    """Rows with a text in column 1: their pooled features given to ``one(batch, first, end, x)``."""
+    if vectors.local is not None:
+        local = vectors.local
 
-    def run(batches):
+        def run(batches):
+            for batch in batches:
+                for first, end, buf, off in _arrow.chunks(batch.column(1)):
+                    yield one(batch, first, end, pooled(buf, off, local.value))
+
+        return rows.mapInArrow(_arrow.tidy(run), schema)
+
+    scratch = Scratch(rows.sparkSession, "pooled")
+    names = rows.columns
+    size = rows.agg(F.sum(F.octet_length(names[1]))).head()[0] or 0
+    groups = max(1, -(-size // GROUP_BYTES))
+    # rows are dealt singly, so that equal ones do not meet; stored, so that a row's group stays what it is
+    dealt = scratch.write(rows.withColumn("_g", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups))), "dealt")
+
+    def needed(batches):
         for batch in batches:
+            group = batch.column(0).to_numpy()
+            for first, end, buf, off in _arrow.chunks(batch.column(1)):
+                words, h, _ = _tokens(buf, off)
+                g = group[first:end][words.doc]
+                for k in np.unique(g):
+                    own = np.unique(h[g == k])
+                    keys = np.concatenate([own.astype(np.int64), np.unique(_bucket(own))])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), k)), pa.array(keys)], ["_g", "key"])
+
+    words = dealt.select("_g", names[1]).mapInArrow(_arrow.tidy(needed), "_g bigint, key bigint")
+    shapes = dealt.select("_g").distinct().withColumn("key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SHAPES - 1).cast("bigint"))))
+    held = words.unionByName(shapes).distinct().join(vectors.table, "key")
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        own = _matrix(right)
+        parts = []
+        for batch in left.select(names).combine_chunks().to_batches():
             for first, end, buf, off in _arrow.chunks(batch.column(1)):
-                yield one(batch, first, end, buf, off)
+                parts.append(one(batch, first, end, pooled(buf, off, own)))
+        return pa.Table.from_batches(parts)
 
-    return rows.mapInArrow(_arrow.tidy(run), schema)
+    return dealt.groupBy("_g").cogroup(held.groupBy("_g")).applyInArrow(meet, schema)
 
 
-def fit(docs: DataFrame, labels: DataFrame, vectors, learn: Column | None = None, max_labels: int = 20_000) -> Network | float:
-    """A network from the labelled rows that ``learn`` allows, or a constant score. ``vectors`` is a broadcast."""
+def fit(docs: DataFrame, labels: DataFrame, vectors: Vectors, learn: Column | None = None, max_labels: int = 20_000) -> Network | float:
+    """A network from the labelled rows that ``learn`` allows, or a constant score."""
 
-    def one(batch, first, end, buf, off):
-        x = pooled(buf, off, vectors.value)
+    def one(batch, first, end, x):
         return pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), batch.column(2).slice(first, end - first), pa.array(list(x), pa.list_(pa.float32()))], ["doc_id", "label", "x"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = _mapped(labelled(docs, labels, max_labels, learn).select("doc_id", "text", "label"), f"doc_id {kind}, label double, x array<float>", one)
-    rows = rows.dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    rows = _mapped(labelled(docs, labels, max_labels, learn).select("doc_id", "text", "label"), vectors, f"doc_id {kind}, label double, x array<float>", one)
+    rows = rows.toPandas().sort_values("doc_id")
     y = (rows["label"] >= 0.5).to_numpy(float)
     if not len(y) or y.min() == y.max():
         return float(y.mean()) if len(y) else 0.5
     return train(np.stack(rows["x"].to_list()), y)
 
 
-def score(docs: DataFrame, model: Network | float, vectors) -> DataFrame:
-    """(doc_id, score) of every row; no shuffle."""
+def score(docs: DataFrame, model: Network | float, vectors: Vectors) -> DataFrame:
+    """(doc_id, score) of every row; no shuffle while the vectors go to every task."""
 
-    def one(batch, first, end, buf, off):
-        value = model.probability(pooled(buf, off, vectors.value)) if isinstance(model, Network) else np.full(end - first, model)
+    def one(batch, first, end, x):
+        value = model.probability(x) if isinstance(model, Network) else np.full(end - first, model)
         return pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(value.astype(np.float64))], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _mapped(docs.select("doc_id", "text"), f"doc_id {kind}, score double", one)
+    return _mapped(docs.select("doc_id", "text"), vectors, f"doc_id {kind}, score double", one)

@@ -199,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000) -> Trees |
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = labelled(docs, labels, max_labels).mapInArrow(_arrow.tidy(run), f"doc_id {kind}, label double, x array<double>")
-    rows = rows.dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    rows = rows.toPandas().sort_values("doc_id")
     if not len(rows) or not 0 < (rows["label"] >= 0.5).sum() < len(rows):
         return None
     return Booster().fit(np.stack(rows["x"].to_list()), (rows["label"] >= 0.5).to_numpy(float), np.array([MONOTONE[f] for f in FEATURES]))

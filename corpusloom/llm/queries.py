@@ -70,7 +70,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    vectors = spark.sparkContext.broadcast(quality_model.word_vectors(docs))
+    vectors = quality_model.word_vectors(docs)
     model = quality_model.fit(docs, table(spark, sf_dir, "labels"), vectors, fold("doc_id", 5) != 0, max_labels=20_000)
     out = quality_model.score(docs, model, vectors)
     return out.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -464,10 +464,114 @@ def test_trees_separate_and_are_monotone(docs, labels):
 def test_quality_without_labels(docs, labels, odd, spark):
     assert quality_rules.fit(docs, labels.limit(0)) is None and quality_rules.fit(docs, labels.where("quality = 1")) is None
     assert quality_rules.judge(odd.limit(0), None).count() == 0 and quality_rules.keep_good(odd.limit(0), None).count() == 0
-    vectors = spark.sparkContext.broadcast(quality_model.word_vectors(odd))
+    vectors = quality_model.word_vectors(odd)
     assert quality_model.fit(docs, labels.limit(0), vectors) == 0.5
     assert quality_model.score(odd, 0.5, vectors).count() == odd.count()
-    assert not quality_model.word_vectors(odd.limit(0)).any()
+    assert quality_model.word_vectors(odd.limit(0)).count == 0
+
+
+def brute_vectors(texts_, least):
+    """Random indexing by dictionaries: key to the vector of its neighbours, as the method reads."""
+    h = lambda w: int(_arrow.segment_hash(np.frombuffer(lower(w).encode(), np.uint8), np.array([0]), np.array([len(w.encode())]))[0]) | 1 << 32
+    shape = lambda w: int(np.bitwise_or.reduce(quality_model._SHAPE[np.frombuffer(w.encode(), np.uint8)])) & 63
+    index = lambda x: quality_model.index(np.array([x], np.uint64))[:, 0].tolist()
+    docs_ = [words(t) for t in texts_]
+    count = Counter(h(w) for d in docs_ for w in d)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    key = lambda w: signed(h(w)) if count[h(w)] >= least else 64 + h(w) % quality_model.RARE
+    total = defaultdict(lambda: np.zeros(quality_model.DIMS))
+
+    def learn(who, near, turn):
+        for k, d in enumerate(index(near)):
+            total[who][(d + turn) % quality_model.DIMS] += 1 if k < 2 else -1
+
+    for d in docs_:
+        for i, w in enumerate(d):
+            learn(key(w), shape(w), 2)
+            learn(shape(w), h(w), 3)
+            if i + 1 < len(d):
+                learn(key(w), h(d[i + 1]), 1)
+                learn(key(d[i + 1]), h(w), 0)
+                learn(shape(w), shape(d[i + 1]), 1)
+                learn(shape(d[i + 1]), shape(w), 0)
+    damped = {k: np.sign(v) * np.log1p(np.abs(v)) for k, v in total.items()}
+    mean = np.mean(list(damped.values()), axis=0)
+    return {k: (v - mean) / max(np.linalg.norm(v - mean), 1e-9) for k, v in damped.items()}, key, shape
+
+
+@pytest.mark.parametrize("few", [10**6, 3])
+def test_word_vectors_and_features_against_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(quality_model, "WORDS", few)
+    monkeypatch.setattr(quality_model, "GROUP_BYTES", 200)
+    rng = np.random.default_rng(1)
+    texts_ = [" ".join(f"{'Wx'[k % 2]}{x}{',' if x % 3 else ''}" for k, x in enumerate(rng.integers(0, 25, n))) for n in (0, 1, 2, 30, 80, 50)]
+    df = spark.createDataFrame(list(enumerate(texts_)), "doc_id bigint, text string")
+    want, key, shape = brute_vectors(texts_, 5)
+    vectors = quality_model.word_vectors(df, least=5)
+    got = {r["key"]: np.frombuffer(r["v"], np.float16) for r in vectors.table.collect()}
+    assert set(got) == set(want) and all(np.allclose(got[k], want[k], atol=2e-3) for k in want)
+    assert (vectors.local is None) == (few == 3)
+    labels_ = spark.createDataFrame([(k, k % 2, 0) for k in range(6)], "doc_id bigint, quality int, toxic int")
+    model = quality_model.fit(df, labels_, vectors)
+    for r in quality_model.score(df, model, vectors).collect():
+        w = words(texts_[r["doc_id"]])
+        x = np.zeros(3 * quality_model.DIMS + 1)
+        x[-1] = np.log1p(len(w))
+        if w:
+            v = [got[key(a)].astype(float) for a in w]
+            x[:32] = np.mean(v, axis=0)
+            x[32:64] = np.mean([got[shape(a)].astype(float) for a in w], axis=0)
+            x[64:96] = sum((a * b for a, b in zip(v, v[1:], strict=False)), np.zeros(32)) / max(1, len(w) - 1)
+        z = [min(6, max(-6, (a - m) / s)) for a, m, s in zip(x, model.mean, model.scale, strict=True)]
+        hidden = [np.tanh(sum(z[i] * model.w1[i, j] for i in range(len(z))) + model.b1[j]) for j in range(len(model.b1))]
+        logit = sum(a * b for a, b in zip(hidden, model.w2, strict=True)) + model.b2
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-logit / model.temperature)), abs=2e-3)
+
+
+def test_index_vectors_have_four_dimensions():
+    d = quality_model.index(np.arange(5000, dtype=np.uint64))
+    assert all(len(set(c)) == 4 for c in d.T) and set(d.reshape(-1)) == set(range(quality_model.DIMS))
+
+
+def walk(trees, x):
+    """The margin of one document, node by node."""
+    out = trees.base
+    for root in trees.roots:
+        node = root
+        while trees.left[node] != node:
+            node = trees.left[node] if x[trees.feature[node]] <= trees.threshold[node] else trees.right[node]
+        out += trees.value[node]
+    return out
+
+
+def test_flat_trees_equal_a_walk(docs, labels, texts):
+    trees = quality_rules.fit(docs, labels)
+    rows = {r["doc_id"]: r for r in quality_rules.judge(docs, trees).collect()}
+    for i, t in list(texts.items())[:80]:
+        buf, off = _arrow.flat(pa.array([t], pa.string()))
+        x = quality_rules.features(quality_rules.statistics(buf, off))[0]
+        score = 1 / (1 + np.exp(-walk(trees, x)))
+        assert rows[i]["score"] == pytest.approx(score, abs=1e-9)
+        assert rows[i]["kept"] == (not brute_stats(t)[5] and score >= 0.3)
+
+
+def test_quality_rules_held_out(spark):
+    """Without the labels of a fifth of the documents, the trees tell theirs."""
+    from corpusloom.llm._shared import fold
+
+    d, marks = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    trees = quality_rules.fit(d, marks.where(fold("doc_id", 5) != 0))
+    held = quality_rules.judge(d, trees).join(marks.where(fold("doc_id", 5) == 0), "doc_id").toPandas()
+    assert len(held) >= 50 and ((held["score"] >= 0.3) == (held["quality"] == 1)).mean() > 0.95
+
+
+def test_repeated_ids_learn_the_same(spark):
+    from corpusloom.llm._labels import labelled
+
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c"), (2, None)], "doc_id bigint, text string")
+    marks = spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, quality int")
+    runs = {tuple(sorted((r["doc_id"], r["text"] or "") for r in labelled(df.repartition(k), marks, 10).collect())) for k in (1, 3, 5)}
+    assert len(runs) == 1
 
 
 def test_quality_model_held_out(spark):
