@@ -187,21 +187,22 @@ def write_files(docs: DataFrame, path: str, folder: str, end_id: int = 2, percen
     """Encode and write all documents; (shard, uri, n_docs, n_ids) of the files, in ascending order of doc_id.
 
     One range shuffle of the texts puts documents in order; each task streams its
-    range into one file, first under a name of its own, then moved into place, so
-    that a repeated task replaces the file by an equal one.
+    range into one file, whose name has the task's attempt. A file counts once its row is
+    in the stored result, which names one attempt for each range: no file is moved or
+    replaced, and what a failed or speculative attempt left, ``sweep`` deletes.
     """
 
     def run(batches):
         bpe, shard = codec(path), TaskContext.get().partitionId()
-        fs, place = _open(f"{folder}/shard-{shard:07d}.pfor")
-        trial = f"{place}.{TaskContext.get().taskAttemptId()}"
+        uri = f"{folder}/shard-{shard:07d}-{TaskContext.get().taskAttemptId()}.pfor"
+        fs, place = _open(uri)
         writer, sink, n_docs = None, None, 0
         for batch in batches:
             names = batch.column(0).to_pylist()
             for first, end, ids, off in bpe.encode(batch.column(1)):
                 if writer is None:
                     fs.create_dir(place.rpartition("/")[0], recursive=True)
-                    sink = fs.open_output_stream(trial)
+                    sink = fs.open_output_stream(place)
                     writer = Writer(sink, percentile)
                 writer.add(names[first:end], np.diff(off) + 1, np.insert(ids, off[1:], np.uint32(end_id)))
                 n_docs += end - first
@@ -209,14 +210,25 @@ def write_files(docs: DataFrame, path: str, folder: str, end_id: int = 2, percen
             return
         total = writer.close()
         sink.close()
-        fs.move(trial, place)
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "uri": [f"{folder}/shard-{shard:07d}.pfor"], "n_docs": pa.array([n_docs], pa.int64()), "n_ids": pa.array([total], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "uri": [uri], "n_docs": pa.array([n_docs], pa.int64()), "n_ids": pa.array([total], pa.int64())})
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     dealt = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
     return dealt.mapInArrow(_arrow.tidy(run), "shard bigint, uri string, n_docs bigint, n_ids bigint")
 
 
+def sweep(manifest: DataFrame, folder: str) -> int:
+    """Delete the files in ``folder`` that a stored manifest does not name; how many there were. A manifest has a row a file."""
+    sc = manifest.sparkSession.sparkContext
+    named = {r["uri"].rpartition("/")[2] for r in manifest.select("uri").collect()}
+    place = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = place.getFileSystem(sc._jsc.hadoopConfiguration())
+    left = [f.getPath() for f in fs.listStatus(place) if f.getPath().getName() not in named] if fs.exists(place) else []
+    for path in left:
+        fs.delete(path, False)
+    return len(left)
+
+
 def read_files(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document in the files of a stored manifest."""
 
@@ -256,4 +268,5 @@ def write_and_read(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
     """Write ``docs`` to token-id files in the shared folder and read them back."""
     scratch = Scratch(docs.sparkSession, "pfor")
     manifest = scratch.write(write_files(docs, path, f"{scratch.path}/ids", end_id), "manifest")
+    sweep(manifest, f"{scratch.path}/ids")
     return read_files(manifest)

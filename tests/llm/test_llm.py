@@ -191,6 +191,15 @@ def test_token_files(docs, odd):
     assert pfor.write_and_read(odd.limit(0), queries.vocabulary()).count() == 0
 
 
+def test_files_of_failed_attempts_go(spark, docs, tmp_path):
+    folder = f"file://{tmp_path}/ids"
+    manifest = pfor.write_files(docs, queries.vocabulary(), folder).cache()
+    want = sorted(r["uri"].rpartition("/")[2] for r in manifest.collect())
+    (tmp_path / "ids" / "shard-0000000-99999.pfor").write_bytes(b"half")
+    assert pfor.sweep(manifest, folder) == 1
+    assert sorted(p.name for p in (tmp_path / "ids").iterdir() if p.suffix == ".pfor") == want
+
+
 # ------------------------------------------------------------ line dedup
 
 
