@@ -27,11 +27,6 @@ def units(cards: DataFrame, fields: list[str], questions: str, id_col: str = "do
     return rows.where(X.strip(F.coalesce("text", F.lit(""))) != "")
 
 
-def card_text(*fields: Column) -> Column:
-    """Fields and arrays of one record as one text; a missing field leaves its separator."""
-    return F.concat_ws(" ", *[F.coalesce(f, F.lit("")) for f in fields])
-
-
 def postings(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
     """(id, token, tf)"""
     return docs.select(id_col, F.explode(tokens).alias("token")).groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("tf"))

@@ -182,10 +182,10 @@ WITH l AS (SELECT doc_id, unnest(ls) AS raw, generate_subscripts(ls, 1) AS ln FR
      g AS (SELECT doc_id, wait, max(mark) AS mark, max(ln) FILTER (WHERE mark IS NOT NULL) AS ln,
                   string_agg(regexp_replace(body, '^\\s+|\\s+$', '', 'g'), ' ' ORDER BY ln, piece) FILTER (WHERE regexp_replace(body, '^\\s+|\\s+$', '', 'g') <> '') AS body FROM w GROUP BY 1, 2),
      v AS (SELECT doc_id, wait, ln, regexp_replace(trim(body, ' ।॥'), '\\s+', ' ', 'g') AS text, list_transform(regexp_extract_all(mark, '{_DIGIT}+'), lambda x: translate(x, '०१२३४५६७८९', '0123456789')::BIGINT) AS ns FROM g WHERE mark IS NOT NULL)
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ln, wait) - 1 AS pos, CASE WHEN len(ns) > 1 THEN ns[-2] END AS chapter, ns[-1] AS n, md5(text) AS text_md5 FROM v WHERE text <> ''""")
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ln, wait) - 1 AS pos, CASE WHEN len(ns) > 1 THEN ns[-2] ELSE -1 END AS chapter, ns[-1] AS n, md5(text) AS text_md5 FROM v WHERE text <> ''""")
 def marker_split(spark, sf_dir):
     d = _t(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), "\n", " ॥ ७ ॥\n").alias("text"))
-    return parse.split_marked(d, "doc_id", "text").select("doc_id", "pos", "chapter", "n", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    return parse.split_marked(d, "doc_id", "text").select("doc_id", "pos", F.coalesce("chapter", F.lit(-1)).alias("chapter"), "n", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 @query("""

@@ -168,11 +168,11 @@ _ROMANS = [_roman(n) for n in range(1, 120)]
 
 
 @query(f"""
-SELECT p_partkey, p_partkey % 119 + 1 AS roman, (p_partkey % 1000)::BIGINT AS number, {_sql_pick('p_partkey', [v for _, v in _TITLES])}::INT AS ordinal FROM part""")
+SELECT p_partkey, p_partkey % 119 + 1 AS roman, (p_partkey % 1000)::BIGINT AS number, coalesce({_sql_pick('p_partkey', [v for _, v in _TITLES])}::INT, -1) AS ordinal FROM part""")
 def scalar_numbers(spark, sf_dir):
     k = F.col("p_partkey")
     digits = F.translate((k % 1000).cast("string"), "0123456789", X.INDIC_DIGITS[20:30])
-    return table(spark, sf_dir, "part").select("p_partkey", X.roman(_pick(k, _ROMANS)).cast("bigint").alias("roman"), X.number(F.concat(F.lit(" "), digits)).alias("number"), X.ordinal(_pick(k, [t for t, _ in _TITLES])).alias("ordinal"))
+    return table(spark, sf_dir, "part").select("p_partkey", X.roman(_pick(k, _ROMANS)).cast("bigint").alias("roman"), X.number(F.concat(F.lit(" "), digits)).alias("number"), F.coalesce(X.ordinal(_pick(k, [t for t, _ in _TITLES])), F.lit(-1)).alias("ordinal"))
 
 
 @query(f"SELECT p_partkey, {_sql_pick('p_partkey', [w[1] for w in _WORDS])} AS iast, {_sql_pick('p_partkey', [w[2] for w in _WORDS])} AS telugu FROM part")
@@ -203,12 +203,12 @@ def scalar_text(spark, sf_dir):
 
 
 @query(f"""
-SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_partkey % 119 + 1 END AS book, CASE WHEN p_partkey % 2 = 0 THEN p_size END AS chapter FROM part""")
+SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_partkey % 119 + 1 ELSE -1 END AS book, CASE WHEN p_partkey % 2 = 0 THEN p_size ELSE -1 END AS chapter FROM part""")
 def title_parse(spark, sf_dir):
     k = F.col("p_partkey")
     title = F.when(k % 2 == 0, F.concat(F.lit("Work/Book "), _pick(k, _ROMANS), F.lit(": Name/Section "), F.col("p_size").cast("string"))).otherwise(F.lit("Work/Index"))
     found = X.title_numbers(title, r"^Work/Book ([IVXLCDM]+): [^/]+/Section (\d+)$", read=lambda c: F.coalesce(X.roman(c).cast("bigint"), X.number(c)))
-    return table(spark, sf_dir, "part").select("p_partkey", found.alias("t")).select("p_partkey", "t.book", F.col("t.chapter").cast("int").alias("chapter"))
+    return table(spark, sf_dir, "part").select("p_partkey", found.alias("t")).select("p_partkey", F.coalesce("t.book", F.lit(-1)).alias("book"), F.coalesce(F.col("t.chapter").cast("int"), F.lit(-1)).alias("chapter"))
 
 
 @query("""
@@ -644,10 +644,9 @@ def json_files_scan(spark, sf_dir):
     """One JSON document a file, in a folder for each work."""
     root, d = _folder(spark), table(spark, sf_dir, "documents").select("doc_id", "lang")
     for k in range(3):
-        d.where(F.col("doc_id") % 3 == k).groupBy().agg(F.collect_list(F.struct("doc_id", "lang")).alias("rows")).write.json(f"{root}/w{k}/cards")
-    schema = "rows array<struct<doc_id:bigint,lang:string>>"
-    found = spark.read.schema(schema).option("recursiveFileLookup", True).json(root).select("*", F.regexp_extract(F.col("_metadata.file_path"), "/(w[0-9])/cards/", 1).alias("work"))
-    return found.select("work", F.explode("rows").alias("r")).groupBy("work").agg(F.count(F.lit(1)).alias("n"), F.sum("r.doc_id").alias("ids"))
+        d.where(F.col("doc_id") % 3 == k).groupBy().agg(F.collect_list(F.struct("doc_id", "lang")).alias("rows")).write.json(f"{root}/w{k}")
+    found = readers.json_files(spark, root, "rows array<struct<doc_id:bigint,lang:string>>")
+    return found.select(F.col("_work").alias("work"), F.explode("rows").alias("r")).groupBy("work").agg(F.count(F.lit(1)).alias("n"), F.sum("r.doc_id").alias("ids"))
 
 
 @query("SELECT doc_id, source AS title, md5(coalesce(text, '')) AS body_md5 FROM documents")

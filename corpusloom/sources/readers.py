@@ -103,18 +103,17 @@ def fetch_pages(titles: DataFrame, cache: str, fetch, base_url: str = "") -> Dat
     return spark.read.schema(PAGE).parquet(cache).join(named.select("slug"), "slug", "left_semi")
 
 
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, sha256) of every file below ``path``."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
 def snapshot(spark: SparkSession, folder: str, to: str) -> DataFrame:
     """(path, length, sha256) of every file below ``folder``, stored at ``to``: what a run was made from."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    files.select("path", "length", F.sha2("content", 256).alias("sha256")).write.mode("overwrite").parquet(to)
+    file_digests(spark, folder).write.mode("overwrite").parquet(to)
     return spark.read.parquet(to)
 
 
-def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, sha256) of every file."""
-    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
-
-
 VECTORS = T.StructType([T.StructField("unit_id", T.LongType()), T.StructField("doc_id", T.StringType()), T.StructField("work", T.StringType()), T.StructField("unit", T.StringType()), T.StructField("embedding", T.ArrayType(T.FloatType()))])
 
 
