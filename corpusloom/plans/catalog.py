@@ -150,10 +150,10 @@ def scalar_functions(spark, sf_dir):
 
 @query("""
 SELECT doc_id, len(p) AS n, list_sum(list_transform(p, lambda x: length(x))) + 0 AS kept, length(text) AS total
-FROM (SELECT doc_id, text, list_filter([text[1:length(text) // 3], text[length(text) // 3 + 1:2 * (length(text) // 3)], text[2 * (length(text) // 3) + 1:]], lambda x: length(x) > 12) AS p FROM documents WHERE text IS NOT NULL)""")
+FROM (SELECT doc_id, text, list_filter([text[1:length(text) // 3], text[length(text) // 3 + 1:2 * (length(text) // 3)], text[2 * (length(text) // 3) + 1:]], lambda x: length(x) > 12) AS p FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))""")
 def span_split(spark, sf_dir):
     third = F.floor(F.length("text") / 3).cast("int")
-    d = _t(spark, sf_dir, "documents").where("text is not null").withColumn("cuts", F.array(third, 2 * third))
+    d = _t(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("cuts", F.array(third, 2 * third))
     p = F.filter(align.split_at(F.col("text"), F.col("cuts")), lambda x: F.length(x["piece"]) > 12)
     kept = F.when(F.size("p") > 0, F.aggregate("p", F.lit(0), lambda a, x: a + F.length(x["piece"])))
     return d.select("doc_id", "text", p.alias("p")).select("doc_id", F.size("p").alias("n"), kept.alias("kept"), F.length("text").alias("total"))
@@ -394,14 +394,14 @@ def jaccard_semi_join(spark, sf_dir):
 
 
 @query("""
-WITH d AS (SELECT source AS book, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r, text FROM documents WHERE text IS NOT NULL),
+WITH d AS (SELECT source AS book, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r, coalesce(text, '') AS text FROM documents),
      v AS (SELECT DISTINCT book, (r - 1) // 2 AS ch, r % 2 AS side, md5(l) AS k FROM (SELECT book, r, unnest(string_split(text, chr(10))) AS l FROM d) WHERE trim(l, E' \\t\\r') <> ''),
      n AS (SELECT book, ch, count(*) AS n FROM v WHERE side = 1 GROUP BY 1, 2),
      h AS (SELECT a.book, a.ch AS new_ch, b.ch AS old_ch, count(*) AS hits FROM v a JOIN v b ON a.book = b.book AND a.k = b.k AND abs(a.ch - b.ch) <= 10 WHERE a.side = 1 AND b.side = 0 GROUP BY 1, 2, 3),
      s AS (SELECT h.book, new_ch, old_ch, round(hits / n, 6) AS score FROM h JOIN n ON n.book = h.book AND n.ch = new_ch)
 SELECT book, new_ch, old_ch, score FROM (SELECT *, row_number() OVER (PARTITION BY book, new_ch ORDER BY score DESC, old_ch) AS k FROM s WHERE score >= 0.1) WHERE k = 1""")
 def band_align(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").where("text is not null").withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
+    d = _t(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
     v = parse.lines(d.withColumn("id", F.struct("source", "r")), "id", "text").select(F.col("id.source").alias("book"), F.floor((F.col("id.r") - 1) / 2).alias("ch"), (F.col("id.r") % 2).alias("side"), F.md5(F.col("line").cast("binary")).alias("key"))
     return align.band_align(v.where("side = 1"), v.where("side = 0"), 10, 0.1)
 
@@ -425,12 +425,12 @@ def verse_align_greedy(spark, sf_dir):
 
 
 @query("""
-WITH c AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS quote, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL),
+WITH c AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS quote, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
      s AS (SELECT c.doc_id, c.pos, regexp_replace(nfc_normalize(quote), '[\\s।॥|.,;:!?-]+', '', 'g') AS q, regexp_replace(nfc_normalize(coalesce(d.text, '')), '[\\s।॥|.,;:!?-]+', '', 'g') AS p, d.doc_id AS given FROM c LEFT JOIN documents d ON d.doc_id = c.doc_id + c.pos % 2)
 SELECT doc_id, pos, CASE WHEN given IS NULL THEN 'not in retrieved chapters' WHEN length(q) >= 8 AND contains(p, q) THEN 'verified' ELSE 'not verbatim' END AS status FROM s""")
 def verbatim_verify(spark, sf_dir):
     d = _t(spark, sf_dir, "documents")
-    c = d.where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "quote")).select("doc_id", (F.col("pos") + 1).cast("bigint").alias("pos"), "quote")
+    c = d.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("pos", "quote")).select("doc_id", (F.col("pos") + 1).cast("bigint").alias("pos"), "quote")
     cited = c.select("doc_id", "pos", "quote", (F.col("doc_id") + F.col("pos") % 2).alias("given"))
     passages = d.select(F.col("doc_id").alias("given"), F.coalesce("text", F.lit("")).alias("text"))
     return qa.checked(cited, passages, ["doc_id", "pos"]).select("doc_id", "pos", "status")
