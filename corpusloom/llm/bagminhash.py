@@ -312,7 +312,9 @@ def _rest(mixed: DataFrame, nodes: DataFrame, bags: DataFrame, threshold: float,
     # each two blocks meet once, and each block meets itself
     dealt = dealt.select("band", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "comp")
     kind = "band bigint, p int, q int, block int, node binary, comp binary"
-    near = scratch.write(dealt.join(signed, "node").groupBy("band", "p", "q").applyInArrow(some, kind), "near")
+    # the number of partitions is stated: these rows are few bytes, but a lot of work each
+    parts = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = scratch.write(dealt.join(signed, "node").repartition(parts, "band", "p", "q").groupBy("band", "p", "q").applyInArrow(some, kind), "near")
     return near.join(signed, "node").join(bags, "node").groupBy("band", "p", "q").applyInArrow(one, "u binary, v binary").distinct()
 
 
