@@ -102,20 +102,31 @@ def _sums(docs: DataFrame, frequent) -> DataFrame:
                 words, h, shape = _tokens(buf, off)
                 if not len(h):
                     continue
-                key = h.astype(np.int64)
+                each, at = np.unique(h, return_inverse=True)  # the words that differ, and which each token is
+                key = each.astype(np.int64)
                 if known is not None:
-                    at = np.minimum(np.searchsorted(known, key), max(0, len(known) - 1))
-                    key = np.where(known[at] == key, key, _bucket(h)) if len(known) else _bucket(h)
-                keys, place = np.unique(np.concatenate([key, shape]), return_inverse=True)
-                w, s = place[: len(h)], place[len(h) :]
-                of_word, of_shape = index(h), index(shape.astype(np.uint64))
-                total = np.zeros(len(keys) * DIMS, np.int64)
+                    found = np.minimum(np.searchsorted(known, key), max(0, len(known) - 1))
+                    key = np.where(known[found] == key, key, _bucket(each)) if len(known) else _bucket(each)
+                shapes = np.unique(shape)
+                keys, place = np.unique(np.concatenate([key, shapes]), return_inverse=True)
+                of_word, of_shape = index(each), index(np.arange(SHAPES, dtype=np.uint64))
+                row, shape_row = place[: len(each)] * DIMS, np.zeros(SHAPES, np.int64)
+                shape_row[shapes] = place[len(each) :] * DIMS
                 pair = np.flatnonzero(words.doc[1:] == words.doc[:-1])
-                # who learns, from which index vectors, turned by how much: after, before, own shape, own word
-                for who, near, turn in ((w[pair], of_word[:, pair + 1], 1), (w[pair + 1], of_word[:, pair], 0), (w, of_shape, 2), (s, of_word, 3), (s[pair], of_shape[:, pair + 1], 1), (s[pair + 1], of_shape[:, pair], 0)):
-                    for k in range(4):
-                        cell = np.bincount(who * DIMS + (near[k] + turn) % DIMS, minlength=len(total))
-                        total += cell if k < 2 else -cell
+                here, after = at[pair], at[pair + 1]
+                # who learns, from which index vectors, turned by how much, how often: counted where few differ
+                own, often = np.unique(at * SHAPES + shape, return_counts=True)
+                word, kind = own // SHAPES, own % SHAPES
+                both = np.bincount(shape[pair] * SHAPES + shape[pair + 1], minlength=1)
+                side = np.flatnonzero(both)
+                left, right = side // SHAPES, side % SHAPES
+                counted = ((row[word], of_shape[:, kind], 2, often), (shape_row[kind], of_word[:, word], 3, often), (shape_row[left], of_shape[:, right], 1, both[side]), (shape_row[right], of_shape[:, left], 0, both[side]))
+                total = np.zeros(len(keys) * DIMS, np.int64)
+                for k, sign in ((0, 1), (1, 1), (2, -1), (3, -1)):
+                    cells = np.concatenate([row[here] + (of_word[k][after] + 1 & DIMS - 1), row[after] + of_word[k][here]])
+                    total += sign * np.bincount(cells, minlength=len(total))
+                    cells = np.concatenate([who + (near[k] + turn & DIMS - 1) for who, near, turn, _ in counted])
+                    total += sign * np.bincount(cells, np.concatenate([n for *_, n in counted]), len(total)).astype(np.int64)
                 table = total.reshape(len(keys), DIMS).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), *(pa.array(np.ascontiguousarray(table[:, k])) for k in range(DIMS))], ["key", *_NAMES])
 
