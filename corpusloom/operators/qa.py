@@ -105,7 +105,7 @@ def answer(questions: DataFrame, passages: DataFrame, client: ModelClient, retri
     given = F.transform(F.array_sort(F.collect_list(F.struct("rank", "verse_id", "text"))), lambda p: F.struct(p["verse_id"].alias("verse_id"), p["text"].alias("text")))
     passages = passages.withColumn("text", X.nfc(F.col("text")))
     asked = stored(understood(questions, client), "asked").join(passages.groupBy("query_id").agg(given.alias("passages")), "query_id", "left")
-    asked = asked.withColumn("passages", F.coalesce("passages", F.array().cast("array<struct<verse_id:string,text:string>>")))
+    asked = stored(asked.withColumn("passages", F.coalesce("passages", F.array().cast("array<struct<verse_id:string,text:string>>"))), "given")
     open_ = (F.col("route") != "out_of_scope") & (F.size("passages") > 0)
     refused = asked.where(~open_).select("query_id", "question", "route", F.lit("refused").alias("status"), F.lit(None).cast("string").alias("answer"), F.array().cast("array<struct<verse_id:string,quote:string,reason:string>>").alias("verified"), F.lit(0).alias("attempts"))
     todo, done = asked.where(open_), [refused]

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as X
 from ..sources.tables import stored
@@ -18,6 +20,12 @@ BLOCK_VALUES, QUERY_ROWS = 100_000, 100_000
 #: Rows (query, token) of a query set that may be broadcast, about 50 bytes each.
 BROADCAST_ROWS = 1_000_000
 
+#: Documents and scores that a task of the lexical ranking makes at once, and distinct tokens that one counts before it hands them on.
+SCORE_ROWS, SCORE_VALUES, HELD_TOKENS = 64, 2_000_000, 1_000_000
+
+#: What Python takes for white space and Java does not, and the white space of both.
+_SEPARATORS, _SPACE = re.compile("[\x1c-\x1f]"), re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
 
 def units(cards: DataFrame, fields: list[str], questions: str, id_col: str = "doc_id") -> DataFrame:
     """(id, unit, text): title-like fields and each question as a unit; empty ones go."""
@@ -39,8 +47,77 @@ def _bounded(side: DataFrame, rows: int) -> DataFrame:
 
 def lexical_statistics(docs: DataFrame, n: int = 4) -> DataFrame:
     """(token, df) of ``docs`` (doc_id, text): in how many documents each token is. Combined before the shuffle."""
-    bag = X.lexical_tokens(F.coalesce("text", F.lit("")), n)
-    return docs.select(F.explode(F.array_distinct(bag)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    return _counted(docs, n).where("token is not null").select("token", "df")
+
+
+def _counted(docs: DataFrame, n: int) -> DataFrame:
+    """(token, df, size) of ``docs``; without a token, how many documents and tokens there are."""
+
+    def run(batches):
+        codes, counts, rest, n_docs, size = [], [], Counter(), 0, 0
+
+        def partly():
+            code, at = np.unique(np.concatenate(codes), return_inverse=True) if codes else (np.zeros(0, np.uint64), None)
+            df = np.bincount(at, np.concatenate(counts), len(code)).astype(np.int64).tolist() if codes else []
+            names = _unpacked(code, n) + list(rest)
+            return pa.RecordBatch.from_pydict({"token": pa.array(names, pa.string()), "df": pa.array(df + list(rest.values()), pa.int64()), "size": pa.array([0] * len(names), pa.int64())})
+
+        held = 0
+        for batch in batches:
+            for text in batch.column(0):
+                code, words = _bag(text.as_py() or "", n)
+                n_docs, size = n_docs + 1, size + len(code) + len(words)
+                code = np.unique(code)
+                codes.append(code)
+                counts.append(np.ones(len(code)))
+                rest.update(set(words))
+                held += len(code)
+                if held > HELD_TOKENS:
+                    code, at = np.unique(np.concatenate(codes), return_inverse=True)
+                    codes, counts, held = [code], [np.bincount(at, np.concatenate(counts), len(code))], 0
+                if sum(map(len, codes[:1])) + len(rest) > HELD_TOKENS:
+                    yield partly()
+                    codes, counts, rest, held = [], [], Counter(), 0
+        yield partly()
+        yield pa.RecordBatch.from_pydict({"token": pa.array([None], pa.string()), "df": pa.array([n_docs], pa.int64()), "size": pa.array([size], pa.int64())})
+
+    found = docs.select("text").mapInArrow(run, "token string, df bigint, size bigint")
+    return found.groupBy("token").agg(F.sum("df").alias("df"), F.sum("size").alias("size"))
+
+
+def _words(text: str) -> list[str]:
+    """``text`` split at white space, as Java's ``(?U)\\s`` has it: without the four separators that Python adds."""
+    return text.split() if not _SEPARATORS.search(text) else [w for w in _SPACE.split(text) if w]
+
+
+def _bag(text: str, n: int) -> tuple[np.ndarray, list[str]]:
+    """What ``lexical_tokens`` has: tokens of ``n`` code points that fit in 64 bits as numbers, the others as they are."""
+    words = _words(text)
+    if n > 4:
+        return np.zeros(0, np.uint64), [text[k : k + n] for k in range(len(text) - n + 1)] + words
+    c = np.frombuffer(text.encode("utf-16-le"), np.uint16).astype(np.uint64)
+    if len(c) == len(text):
+        some = max(0, len(c) - n + 1)
+        code = c[:some].copy()
+        for k in range(1, n):
+            code |= c[k : k + some] << np.uint64(16 * k)
+        short = [w for w in words if len(w) == n]
+        if not short:
+            return code, words
+        return np.concatenate([code, np.frombuffer("".join(short).encode("utf-16-le"), np.uint16).reshape(-1, n).astype(np.uint64) @ (1 << np.arange(0, 16 * n, 16, dtype=np.uint64))]), [w for w in words if len(w) != n]
+    both = [text[k : k + n] for k in range(len(text) - n + 1)] + words
+    plain = [g for g in both if len(g) == n and max(g) <= "\uffff"]
+    return np.array([_code(g) for g in plain], np.uint64), [g for g in both if len(g) != n or max(g) > "\uffff"]
+
+
+def _code(token: str) -> int:
+    return int.from_bytes(token.encode("utf-16-le"), "little")
+
+
+def _unpacked(code: np.ndarray, n: int) -> list[str]:
+    cells = (code[:, None] >> np.arange(0, 16 * min(n, 4), 16, dtype=np.uint64)[None, :]) & np.uint64(0xFFFF)
+    text = cells.astype("<u2").tobytes().decode("utf-16-le")
+    return [text[k : k + n] for k in range(0, len(text), n)]
 
 
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 30, n: int = 4, k1: float = 1.5, b: float = 0.75, floor: float = 0.25, same_work: bool = False, fill: bool = False, statistics: DataFrame | None = None) -> DataFrame:
@@ -48,8 +125,8 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 30, n: int = 4, k1:
 
     Document frequencies are of the whole vocabulary, as the mean idf needs them; ``statistics`` gives those of
     ``lexical_statistics`` if an index has them. From there on only tokens of queries count: while these
-    are few, a document's bag is filtered by them inside its row, before it becomes rows. A repeated
-    query token counts repeatedly. A negative idf becomes ``floor`` times the mean idf.
+    are few and no id is null or repeated, each task scores its documents against all queries and keeps the best
+    ``k`` of each. A repeated query token counts repeatedly. A negative idf becomes ``floor`` times the mean idf.
 
     With ``same_work`` only documents of a query's ``work`` are ranked (both sides have that column); statistics
     are still those of all. With ``fill`` a query that fewer than ``k`` documents share a token with gets
@@ -60,19 +137,28 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 30, n: int = 4, k1:
     asked = queries.withColumn("text", F.coalesce("text", F.lit("")))
     tokens = stored(postings(asked, "query_id", bag).withColumnRenamed("tf", "qf"), "asked")
     rows = tokens.count()
-    df = stored(lexical_statistics(docs, n) if statistics is None else statistics, "df")
-    whole = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(X.lexical_length(F.col("text"), n)).alias("avgdl"))
-    idf = df.join(F.broadcast(whole)).select("token", "avgdl", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
+    if statistics is None:
+        counted = stored(_counted(docs, n), "df")
+        df = counted.where("token is not null").select("token", "df")
+        n_docs, size = counted.where("token is null").agg(F.sum("df"), F.sum("size")).first()
+        avgdl = size / n_docs if n_docs else None
+    else:
+        df = stored(statistics, "df")
+        n_docs, avgdl = docs.agg(F.count(F.lit(1)), F.avg(X.lexical_length(F.col("text"), n))).first()
+    idf = df.select("token", F.lit(avgdl).cast("double").alias("avgdl"), (F.log(F.lit(n_docs or 0) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
     mean = idf.agg(F.avg("idf").alias("mean"))
     wanted = tokens.select("token").distinct()
     plan = idf.join(_bounded(wanted, rows), "token").join(F.broadcast(mean)).select("token", "avgdl", F.when(F.col("idf") < 0, floor * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
     plan = plan.join(_bounded(tokens, rows), "token")
+    if rows <= BROADCAST_ROWS and not docs.groupBy("doc_id").count().where("doc_id is null or count > 1").take(1):
+        return top(_best(docs, asked, plan.select("token", "query_id", (F.col("qf") * F.col("idf")).alias("weight")), avgdl or 1.0, k, n, k1, b, same_work, fill), k)
     length = X.lexical_length(F.col("text"), n).alias("dl")
-    tf = _query_tokens(docs.select("doc_id", "text", length), wanted, rows, n)
+    tf = _query_tokens(docs.select("doc_id", "text", length), wanted, n)
     weight = F.col("qf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     score = tf.join(_bounded(plan, rows), "token").groupBy("query_id", "doc_id").agg(F.round(F.sum(weight), 6).alias("score"))
     if same_work:
         score = score.join(asked.select("query_id", "work"), "query_id").join(docs.select("doc_id", "work"), ["doc_id", "work"]).select("query_id", "doc_id", "score")
+    score = stored(score, "scores")
     best = top(score, k)
     if not fill:
         return best
@@ -88,31 +174,100 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 30, n: int = 4, k1:
     return top(best.drop("rank").unionByName(none), k)
 
 
-def _query_tokens(docs: DataFrame, wanted: DataFrame, rows: int, n: int) -> DataFrame:
+def _query_tokens(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """(doc_id, dl, token, tf) of the tokens that are ``wanted``, from (doc_id, text, dl)."""
-    if rows > BROADCAST_ROWS:
-        bag = X.lexical_tokens(F.col("text"), n)
-        return docs.select("doc_id", "dl", F.explode(bag).alias("token")).join(wanted, "token", "left_semi").groupBy("doc_id", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
-    known = docs.sparkSession.sparkContext.broadcast(wanted.toPandas()["token"].tolist())
+    bag = X.lexical_tokens(F.col("text"), n)
+    return docs.select("doc_id", "dl", F.explode(bag).alias("token")).join(wanted, "token", "left_semi").groupBy("doc_id", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def _best(docs: DataFrame, asked: DataFrame, plan: DataFrame, avgdl: float, k: int, n: int, k1: float, b: float, same_work: bool, fill: bool) -> DataFrame:
+    """(query_id, doc_id, score): for each query its best ``k`` documents of every task, by ``plan`` (token, query_id, weight).
+
+    Weights are held by token; a slice of documents becomes a matrix with a column for each query. Ids are
+    neither null nor repeated.
+    """
+    works = ["work"] if same_work else []
+    who = [tuple(r) for r in asked.select("query_id", *(F.col(w).cast("string") for w in works)).distinct().where("query_id is not null").collect()]
+    if same_work:
+        who = [r for r in who if r[1] is not None]
+    columns: dict = {}
+    for i, r in enumerate(who):
+        columns.setdefault(r[0], []).append(i)
+    said = [(t, i, w) for t, q, w in plan.toPandas().itertuples(index=False, name=None) for i in columns.get(q, ())]
+    held = docs.sparkSession.sparkContext.broadcast((who, sorted({t for t, _, _ in said}), said))
+    kinds = {c: d.schema[c].dataType for c, d in (("query_id", asked), ("doc_id", docs))}
+    number = kinds["doc_id"].typeName() in ("long", "integer", "short", "byte")
 
     def run(batches):
-        number = {t: k for k, t in enumerate(known.value)}
+        who, names, said = held.value
+        at = {t: i for i, t in enumerate(names)}
+        said = sorted((at[t], i, w) for t, i, w in said)
+        of, column, weight = (np.array([x[c] for x in said], kind) for c, kind in ((0, np.int64), (1, np.int64), (2, np.float64)))
+        first = np.searchsorted(of, np.arange(len(names) + 1))
+        coded = sorted((_code(t), i) for t, i in at.items() if n <= 4 and len(t) == n and max(t) <= "\uffff")
+        code, code_at = np.array([c for c, _ in coded], np.uint64), np.array([i for _, i in coded], np.int64)
+        work_at = {w: i for i, w in enumerate(sorted({r[1] for r in who}))} if same_work else {}
+        own = np.array([work_at[r[1]] for r in who], np.int64) if same_work else None
+        width, got = len(who), []
+        cut, cut_id = np.full(width, -np.inf), np.zeros(width, np.int64 if number else object)
+
+        def fewer():
+            q, s, d = (np.concatenate(x) for x in zip(*got, strict=True))
+            order = np.lexsort((d if number else np.unique(d, return_inverse=True)[1], -s, q))
+            q, s, d = q[order], s[order], d[order]
+            place = np.arange(len(q)) - np.searchsorted(q, q)
+            last = place == k - 1
+            cut[q[last]], cut_id[q[last]] = s[last], d[last]
+            got[:] = [(q[place < k], s[place < k], d[place < k])]
+
+        def tokens(text):
+            codes, words = _bag(text, n)
+            found, count = np.unique(codes, return_counts=True)
+            where = np.minimum(np.searchsorted(code, found), max(0, len(code) - 1))
+            hit = code[where] == found if len(code) else np.zeros(len(found), bool)
+            rest = Counter(map(at.get, words))
+            rest.pop(None, None)
+            ids = np.concatenate([code_at[where[hit]], np.fromiter(rest, np.int64, len(rest))]) if len(code) else np.fromiter(rest, np.int64, len(rest))
+            tf = np.concatenate([count[hit], np.fromiter(rest.values(), np.int64, len(rest))])
+            return ids, tf * (k1 + 1) / (tf + k1 * (1 - b + b * (len(codes) + len(words)) / avgdl))
+
+        step, waiting = max(1, min(SCORE_ROWS, SCORE_VALUES // max(1, width))), 0
         for batch in batches:
-            names, length = batch.column(0), batch.column(2)
-            at, token, count = [], [], []
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                grams = [text[k : k + n] for k in range(len(text) - n + 1)] + text.split()
-                found = Counter(map(number.get, grams))
-                found.pop(None, None)
-                at.extend([row] * len(found))
-                token.extend(found)
-                count.extend(found.values())
-            row = pa.array(at, pa.int64())
-            words = pa.array(known.value, pa.string()).take(pa.array(token, pa.int64()))
-            yield pa.RecordBatch.from_arrays([names.take(row), length.take(row), words, pa.array(count, pa.int64())], ["doc_id", "dl", "token", "tf"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", F.col("dl").cast("bigint").alias("dl")).mapInArrow(run, f"doc_id {kind}, dl bigint, token string, tf bigint")
+            if not width:
+                continue
+            ids = np.array(batch.column(0).to_pylist(), np.int64 if number else object)
+            for low in range(0, batch.num_rows, step):
+                texts = batch.column(1).slice(low, step).to_pylist()
+                bags = [tokens(t) for t in texts]
+                token, gain = np.concatenate([x for x, _ in bags]), np.concatenate([x for _, x in bags])
+                row = np.repeat(np.arange(len(bags)), [len(x) for x, _ in bags])
+                many = first[token + 1] - first[token]
+                spot = np.repeat(first[token] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                cell = np.repeat(row, many) * width + column[spot]
+                score = np.round(np.bincount(cell, np.repeat(gain, many) * weight[spot], len(bags) * width), 6).reshape(len(bags), width) + 0.0
+                some = np.full(len(bags) * width, fill)
+                some[cell] = True
+                some = some.reshape(len(bags), width)
+                if same_work:
+                    some &= np.array([work_at.get(w, -1) for w in batch.column(2).slice(low, step).to_pylist()])[:, None] == own[None, :]
+                some &= score >= cut
+                r, q = np.nonzero(some)
+                s, d = score[r, q], ids[low + r]
+                new = s > cut[q]
+                new[~new] = (d[~new] < cut_id[q[~new]]).astype(bool)
+                got.append((q[new], s[new], d[new]))
+                waiting += int(new.sum())
+                if waiting > max(4 * width * k, 100_000):
+                    fewer()
+                    waiting = 0
+        if got:
+            fewer()
+            for low in range(0, len(got[0][0]), 100_000):
+                q, s, d = (x[low : low + 100_000] for x in got[0])
+                yield pa.RecordBatch.from_arrays([pa.array([who[i][0] for i in q.tolist()], to_arrow_type(kinds["query_id"])), pa.array(d.tolist(), to_arrow_type(kinds["doc_id"])), pa.array(s, pa.float64())], ["query_id", "doc_id", "score"])
+
+    source = docs.select("doc_id", "text", *(F.col(w).cast("string").alias(w) for w in works))
+    return source.mapInArrow(run, ", ".join(f"{c} {kind.simpleString()}" for c, kind in kinds.items()) + ", score double")
 
 
 def top(score: DataFrame, k: int, *ties: str) -> DataFrame:

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import cards, evaluate, records, retrieve
+from corpusloom.operators import cards, evaluate, qa, records, retrieve
 from corpusloom.plans import build
 from corpusloom.sources import readers, sinks
 
@@ -117,6 +117,38 @@ def test_lexical_ranking_is_filled_and_filtered(spark):
     assert [retrieve.clamped(k) for k in (0, 1, 5, 99, -3)] == [4, 1, 5, 8, 1]
 
 
+def test_passages_of_questions_are_made_once(spark, tmp_path):
+    def read(batches):
+        for pdf in batches:
+            with open(tmp_path / "reads", "a") as f:
+                f.write("x" * len(pdf))
+            yield pdf
+
+    p = spark.createDataFrame([(1, "v1", "some words that are said", 1)], "query_id bigint, verse_id string, text string, rank int").coalesce(1)
+    q = spark.createDataFrame([(1, "what"), (2, "")], "query_id bigint, text string")
+    got = qa.answer(q, p.mapInPandas(read, p.schema), qa.OfflineClient()).collect()
+    assert {r["query_id"]: r["status"] for r in got} == {1: "answered", 2: "refused"}
+    assert (tmp_path / "reads").read_text() == "x"
+
+
+@pytest.mark.parametrize("n", [4, 2])
+def test_lexical_ranking_in_tasks_is_that_of_joins(spark, monkeypatch, n):
+    import random
+
+    rng = random.Random(n)
+    words = ["that", "the", "sun", "moon", "a\x1cb", "𝒳𝒴𝒵𝒲", "𝒳sun", "\xa0hill", "ऋषिः", "rain"]
+    text = lambda: " ".join(rng.choices(words, k=rng.randrange(12)))
+    docs = spark.createDataFrame([(f"d{i}", text() or None) for i in range(150)], "doc_id string, text string").repartition(3)
+    asked = spark.createDataFrame([(i, text()) for i in range(6)] + [(9, None)], "query_id int, text string")
+    monkeypatch.setattr(retrieve, "SCORE_ROWS", 7)
+    monkeypatch.setattr(retrieve, "HELD_TOKENS", 40)
+    rank = lambda: {(r["query_id"], r["rank"]): (r["doc_id"], r["score"]) for r in retrieve.bm25_topk(docs, asked, 5, n).collect()}
+    quick = rank()
+    monkeypatch.setattr(retrieve, "BROADCAST_ROWS", 0)
+    joined = rank()
+    assert quick.keys() == joined.keys() and all(quick[k][1] == pytest.approx(joined[k][1], abs=2e-6) for k in quick)
+
+
 def test_a_hint_excludes_nothing(spark):
     side = lambda s: spark.createDataFrame([(1, d, k + 1) for k, d in enumerate(s)], "query_id bigint, doc_id string, rank int")
     out = retrieve.soft_hint(side("FA"), side("HB"), 4).orderBy("rank").collect()
