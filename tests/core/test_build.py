@@ -149,6 +149,21 @@ def test_lexical_ranking_in_tasks_is_that_of_joins(spark, monkeypatch, n):
     assert quick.keys() == joined.keys() and all(quick[k][1] == pytest.approx(joined[k][1], abs=2e-6) for k in quick)
 
 
+def test_tasks_rank_only_the_best_of_a_work(spark, monkeypatch):
+    seen, keep = [], retrieve.top
+
+    def top(score, *a):
+        seen.append(score.count())
+        return keep(score, *a)
+
+    monkeypatch.setattr(retrieve, "top", top)
+    docs = spark.createDataFrame([(i, f"sun {'moon ' * (i % 5)}", "ab"[i % 2]) for i in range(200)], "doc_id bigint, text string, work string").coalesce(2)
+    asked = spark.createDataFrame([(1, "sunny moon", "b"), (2, "zzzz", "a"), (3, "moon", None)], "query_id bigint, text string, work string")
+    got = retrieve.bm25_topk(docs, asked, 3, same_work=True, fill=True).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["doc_id"]) for r in got][3:] == [(2, 0), (2, 2), (2, 4)] and all(r["doc_id"] % 2 for r in got[:3]) and len(got) == 6
+    assert max(seen) <= 2 * 3 * 2
+
+
 def test_a_hint_excludes_nothing(spark):
     side = lambda s: spark.createDataFrame([(1, d, k + 1) for k, d in enumerate(s)], "query_id bigint, doc_id string, rank int")
     out = retrieve.soft_hint(side("FA"), side("HB"), 4).orderBy("rank").collect()
