@@ -110,9 +110,14 @@ def lexical_length(c: Column, n: int = 4) -> Column:
     return F.greatest(F.length(c) - (n - 1), F.lit(0)) + F.regexp_count(c, F.lit(r"(?U)\S+"))
 
 
+def letters(c: Column, keep: str = "a-zāīūṛṝḷṃḥśṣñṅṭḍṇ") -> Column:
+    """The lower-cased text stripped to the letters ``keep``."""
+    return F.regexp_replace(F.lower(c), f"[^{keep}]", "")
+
+
 def gram_set(c: Column, n: int = 3, keep: str = "a-zāīūṛṝḷṃḥśṣñṅṭḍṇ") -> Column:
     """Distinct ``n``-grams of the lower-cased text stripped to the letters ``keep``."""
-    return F.array_distinct(char_grams(F.regexp_replace(F.lower(c), f"[^{keep}]", ""), n))
+    return F.array_distinct(char_grams(letters(c, keep), n))
 
 
 def chain(c: Column, *steps: tuple[str, str]) -> Column:

@@ -500,7 +500,7 @@ def chapter_alignment_leftovers(spark, sf_dir):
 def _editions(spark, sf_dir):
     t = table(spark, sf_dir, "conversations").select((F.col("conv_id") % 7).cast("string").alias("work"), F.concat(F.lit("1-"), F.col("conv_id").cast("string")).alias("chapter"), F.col("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
     pos = F.row_number().over(Window.partitionBy("chapter").orderBy("turn", "role", "text")) - 1
-    side = lambda d: d.select("work", "chapter", pos.cast("bigint").alias("pos"), F.concat_ws("/", "chapter", F.col("turn").cast("string"), "role").alias("vid"), "text", X.gram_set(F.col("text")).alias("grams"))
+    side = lambda d: d.select("work", "chapter", pos.cast("bigint").alias("pos"), F.concat_ws("/", "chapter", F.col("turn").cast("string"), "role").alias("vid"), "text")
     return side(t.where("turn % 2 = 0")), side(t.where("turn % 2 = 1"))
 
 

@@ -318,6 +318,50 @@ def test_verse_map_against_brute_force(spark, seed):
     assert n["old verses found elsewhere in the work"] >= 1 and n["old verses placed by span"] >= 1
 
 
+@pytest.mark.parametrize("least", (1, 3, 6))
+def test_places_are_those_of_the_blocks(least, monkeypatch):
+    import random
+
+    rng = random.Random(least)
+    for k in range(400):
+        monkeypatch.setattr(align, "MET_RUNS", 2_000_000 if k % 4 else 1)
+        letters = "ab" if k % 2 else "abcdefgh"
+        texts = ["".join(rng.choices(letters, k=rng.randrange(0, 60))) for _ in range(5)]
+        texts.append(texts[0])
+        unit = "".join(rng.choice(texts)[(x := rng.randrange(30)) : x + rng.randrange(1, 25)] for _ in range(3)) + rng.choice("abc")
+        met = [(b[0], -n, b[1], b[2]) for n, t in enumerate(texts) if (b := align._blocks(t, unit, least)) and b[0] >= 0.25] if len(unit) >= least else []
+        want = max(met, default=None)
+        assert align._Places(texts, least, 0.25).best(unit) == (want and (-want[1], want[2], want[3]))
+
+
+def test_verses_move_as_texts_and_counters_read_none(spark, monkeypatch):
+    written, keep = [], align.stored
+
+    def kept(df, label):
+        written.append(df)
+        return keep(df, label)
+
+    monkeypatch.setattr(align, "stored", kept)
+    line = "abcdefghijklmnopqrstuvwxyz"
+    rows = lambda d: spark.createDataFrame([("w", c, k, f"{c}/{k}", t) for c, v in d.items() for k, t in enumerate(v)], "work string, chapter string, pos bigint, vid string, text string")
+    new, old = rows({"1": [line, "zzyyxxwwvvuu", "short"], "2": [line[::-1], "qqq"], None: [line]}), rows({"1": [line[:20], line[8:]], "2": [], "3": [line[::-1]], None: [line]})
+    mapped = align.verse_map(new, old)
+    got = {(r["chapter"], r["i"], r["vid"], r["old_chapter"], r["j"], r["old_vid"], r["how"], r["start"]) for r in mapped.collect()}
+    assert got == {("1", 0, "1/0", "1", 0, "1/0", "pair", None), ("1", 0, "1/0", "1", 1, "1/1", "span", 8), ("2", 0, "2/0", "3", 0, "3/0", "work", None)}
+    assert all(f.dataType.typeName() != "array" for d in written for f in d.schema.fields)
+    counters = align.verse_counters(new, old, mapped)
+    n = {r["counter"]: r["n"] for r in counters.collect()}
+    assert n == {
+        "new verses in chapters that the old edition lacks": 2,
+        "new verses matched": 1,
+        "new verses unmatched": 3,
+        "old verses matched": 2,
+        "old verses without a new one": 1,
+        "old verses placed by span": 1,
+        "old verses found elsewhere in the work": 1,
+    }
+
+
 def test_takers_take_the_most_alike_in_order(spark, monkeypatch):
     import random
 
