@@ -54,11 +54,10 @@ def _counted(docs: DataFrame, n: int) -> DataFrame:
     """(token, df, size) of ``docs``; without a token, how many documents and tokens there are."""
 
     def run(batches):
-        codes, counts, rest, n_docs, size = [], [], Counter(), 0, 0
+        codes, known, rest, n_docs, size = [], (np.zeros(0, np.uint64), np.zeros(0, np.int64)), Counter(), 0, 0
 
         def partly():
-            code, at = np.unique(np.concatenate(codes), return_inverse=True) if codes else (np.zeros(0, np.uint64), None)
-            df = np.bincount(at, np.concatenate(counts), len(code)).astype(np.int64).tolist() if codes else []
+            code, df = known[0], known[1].tolist()
             names = _unpacked(code, n) + list(rest)
             return pa.RecordBatch.from_pydict({"token": pa.array(names, pa.string()), "df": pa.array(df + list(rest.values()), pa.int64()), "size": pa.array([0] * len(names), pa.int64())})
 
@@ -67,17 +66,17 @@ def _counted(docs: DataFrame, n: int) -> DataFrame:
             for text in batch.column(0):
                 code, words = _bag(text.as_py() or "", n)
                 n_docs, size = n_docs + 1, size + len(code) + len(words)
-                code = np.unique(code)
-                codes.append(code)
-                counts.append(np.ones(len(code)))
+                codes.append(_tallied(code)[0])
                 rest.update(set(words))
-                held += len(code)
+                held += len(codes[-1])
                 if held > HELD_TOKENS:
-                    code, at = np.unique(np.concatenate(codes), return_inverse=True)
-                    codes, counts, held = [code], [np.bincount(at, np.concatenate(counts), len(code))], 0
-                if sum(map(len, codes[:1])) + len(rest) > HELD_TOKENS:
+                    known, codes, held = _added(known, _tallied(np.concatenate(codes))), [], 0
+                if len(known[0]) + len(rest) > HELD_TOKENS:
+                    # what was tallied goes on; texts that wait for their tally wait longer
                     yield partly()
-                    codes, counts, rest, held = [], [], Counter(), 0
+                    known, rest = (known[0][:0], known[1][:0]), Counter()
+        if codes:
+            known = _added(known, _tallied(np.concatenate(codes)))
         yield partly()
         yield pa.RecordBatch.from_pydict({"token": pa.array([None], pa.string()), "df": pa.array([n_docs], pa.int64()), "size": pa.array([size], pa.int64())})
 
@@ -85,6 +84,22 @@ def _counted(docs: DataFrame, n: int) -> DataFrame:
     return found.groupBy("token").agg(F.sum("df").alias("df"), F.sum("size").alias("size"))
 
 
+def _tallied(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers in order, and how often each comes: sorted, as ``np.unique`` without counts hashes, which takes longer."""
+    code = np.sort(code)
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+    return code[first], np.diff(np.concatenate([first, [len(code)]]))
+
+
+def _added(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two tallies as one."""
+    code, many = (np.concatenate(x) for x in zip(a, b, strict=True))
+    order = np.argsort(code, kind="stable")
+    code, many = code[order], many[order]
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+    return code[first], np.add.reduceat(many, first) if len(first) else many
+
+
 def _words(text: str) -> list[str]:
     """``text`` split at white space, as Java's ``(?U)\\s`` has it: without the four separators that Python adds."""
     return text.split() if not _SEPARATORS.search(text) else [w for w in _SPACE.split(text) if w]
@@ -183,8 +198,8 @@ def _query_tokens(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 def _best(docs: DataFrame, asked: DataFrame, plan: DataFrame, avgdl: float, k: int, n: int, k1: float, b: float, same_work: bool, fill: bool) -> DataFrame:
     """(query_id, doc_id, score): for each query its best ``k`` documents of every task, by ``plan`` (token, query_id, weight).
 
-    Weights are held by token; a slice of documents becomes a matrix with a column for each query. Ids are
-    neither null nor repeated.
+    Weights are held by token; a slice of documents becomes a matrix with a column for each query. With ``same_work``
+    they are held by token and work, and a document meets those of its own work alone. Ids are neither null nor repeated.
     """
     works = ["work"] if same_work else []
     who = [tuple(r) for r in asked.select("query_id", *(F.col(w).cast("string") for w in works)).distinct().where("query_id is not null").collect()]
@@ -203,11 +218,18 @@ def _best(docs: DataFrame, asked: DataFrame, plan: DataFrame, avgdl: float, k: i
         at = {t: i for i, t in enumerate(names)}
         said = sorted((at[t], i, w) for t, i, w in said)
         of, column, weight = (np.array([x[c] for x in said], kind) for c, kind in ((0, np.int64), (1, np.int64), (2, np.float64)))
-        first = np.searchsorted(of, np.arange(len(names) + 1))
+        first = None if same_work else np.searchsorted(of, np.arange(len(names) + 1))
         coded = sorted((_code(t), i) for t, i in at.items() if n <= 4 and len(t) == n and max(t) <= "\uffff")
         code, code_at = np.array([c for c, _ in coded], np.uint64), np.array([i for _, i in coded], np.int64)
         work_at = {w: i for i, w in enumerate(sorted({r[1] for r in who}))} if same_work else {}
         own = np.array([work_at[r[1]] for r in who], np.int64) if same_work else None
+        if same_work:
+            slot = of * len(work_at) + own[column]
+            order = np.argsort(slot, kind="stable")
+            slot, column, weight = slot[order], column[order], weight[order]
+            # where each slot begins: looked up while that is a small table, otherwise searched for
+            few = len(names) * len(work_at) <= SCORE_VALUES
+            first = np.searchsorted(slot, np.arange(len(names) * len(work_at) + 1)) if few else None
         width, got = len(who), []
         cut, cut_id = np.full(width, -np.inf), np.zeros(width, np.int64 if number else object)
 
@@ -222,7 +244,7 @@ def _best(docs: DataFrame, asked: DataFrame, plan: DataFrame, avgdl: float, k: i
 
         def tokens(text):
             codes, words = _bag(text, n)
-            found, count = np.unique(codes, return_counts=True)
+            found, count = _tallied(codes)
             where = np.minimum(np.searchsorted(code, found), max(0, len(code) - 1))
             hit = code[where] == found if len(code) else np.zeros(len(found), bool)
             rest = Counter(map(at.get, words))
@@ -241,15 +263,23 @@ def _best(docs: DataFrame, asked: DataFrame, plan: DataFrame, avgdl: float, k: i
                 bags = [tokens(t) for t in texts]
                 token, gain = np.concatenate([x for x, _ in bags]), np.concatenate([x for _, x in bags])
                 row = np.repeat(np.arange(len(bags)), [len(x) for x, _ in bags])
-                many = first[token + 1] - first[token]
-                spot = np.repeat(first[token] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                if same_work:
+                    theirs = np.array([work_at.get(w, -1) for w in batch.column(2).slice(low, step).to_pylist()], np.int64)
+                    met = theirs[row] >= 0
+                    token, gain, row = token[met], gain[met], row[met]
+                    key = token * len(work_at) + theirs[row]
+                    begin = first[key] if few else np.searchsorted(slot, key)
+                    many = (first[key + 1] if few else np.searchsorted(slot, key, "right")) - begin
+                else:
+                    begin, many = first[token], first[token + 1] - first[token]
+                spot = np.repeat(begin - np.cumsum(many) + many, many) + np.arange(many.sum())
                 cell = np.repeat(row, many) * width + column[spot]
                 score = np.round(np.bincount(cell, np.repeat(gain, many) * weight[spot], len(bags) * width), 6).reshape(len(bags), width) + 0.0
                 some = np.full(len(bags) * width, fill)
                 some[cell] = True
                 some = some.reshape(len(bags), width)
                 if same_work:
-                    some &= np.array([work_at.get(w, -1) for w in batch.column(2).slice(low, step).to_pylist()])[:, None] == own[None, :]
+                    some &= theirs[:, None] == own[None, :]
                 some &= score >= cut
                 r, q = np.nonzero(some)
                 s, d = score[r, q], ids[low + r]
@@ -299,23 +329,22 @@ def similarities(units: DataFrame, queries: DataFrame, keep: int, same_work: boo
         best_unit = np.full((len(ids), keep), np.iinfo(np.int64).max)
         best = np.full((len(ids), keep), -np.inf)
         docs: dict[int, str | None] = {}
+        work_at = {w: i for i, w in enumerate(dict.fromkeys(works.tolist()))}
+        own = np.array([work_at[w] for w in works.tolist()], np.int64)
         for batch in batches:
             if not batch.num_rows or not len(ids):
                 continue
             vec = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
             unit = batch.column("unit_id").to_numpy(zero_copy_only=False)
-            work = np.array(batch.column("work").to_pylist(), object)
+            work = np.array([work_at.get(w, -1) for w in batch.column("work").to_pylist()], np.int64)
             docs.update(zip(unit.tolist(), batch.column("doc_id").to_pylist(), strict=True))
             for first in range(0, len(ids), step):
                 block = slice(first, first + step)
                 score = np.round(matrix[block] @ vec.T, 6) + 0.0
                 if same_work or mask:
-                    inside = works[block][:, None] == work[None, :]
+                    inside = own[block][:, None] == work[None, :]
                     score = np.where(inside, score, -np.inf if same_work else -1.0)
-                both = np.concatenate([best[block], score], axis=1)
-                named = np.concatenate([best_unit[block], np.broadcast_to(unit, score.shape)], axis=1)
-                order = np.lexsort((named, -both), axis=1)[:, :keep]
-                best[block], best_unit[block] = np.take_along_axis(both, order, 1), np.take_along_axis(named, order, 1)
+                best[block], best_unit[block] = _kept(best[block], best_unit[block], score, unit)
             if len(docs) > 4 * best.size:
                 used = set(best_unit.reshape(-1).tolist())
                 docs = {u: d for u, d in docs.items() if u in used}
@@ -328,6 +357,27 @@ def similarities(units: DataFrame, queries: DataFrame, keep: int, same_work: boo
     return source.mapInArrow(run, "query_id bigint, unit_id bigint, doc_id string, score double")
 
 
+def _kept(best: np.ndarray, named: np.ndarray, score: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The best of each row of ``best`` (named by ``named``, in order) and of ``score`` (named by ``unit``), then the least names.
+
+    Only scores that could still be among a row's best are sorted.
+    """
+    keep = best.shape[1]
+    score = np.where(np.isnan(score), -np.inf, score)
+    cut, last = best[:, -1:], named[:, -1:]
+    some = (score > -np.inf) & ((score > cut) | (score == cut) & (unit[None, :] < last))
+    if score.shape[1] > keep:
+        some &= score >= np.partition(score, score.shape[1] - keep, axis=1)[:, -keep, None]
+    q, u = np.nonzero(some)
+    if not len(q):
+        return best, named
+    row = np.concatenate([np.repeat(np.arange(len(best)), keep), q])
+    value, name = np.concatenate([best.reshape(-1), score[q, u]]), np.concatenate([named.reshape(-1), unit[u]])
+    order = np.lexsort((name, -value, row))
+    order = order[np.searchsorted(row[order], np.arange(len(best)))[:, None] + np.arange(keep)]
+    return value[order], name[order]
+
+
 def dense_topk(units: DataFrame, queries: DataFrame, pool: int = 30, scan: int = 240, same_work: bool | None = None, mask: bool = False) -> DataFrame:
     """(query_id, doc_id, score, unit_id, rank): the best distinct documents among each query's best ``scan`` units."""
     best = top(similarities(units, queries, scan, same_work, mask), scan, "unit_id").drop("rank")

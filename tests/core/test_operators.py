@@ -483,3 +483,35 @@ def test_chapters_are_mapped_by_small_plans(spark, monkeypatch):
     exchanges.append(got._jdf.queryExecution().executedPlan().toString().count("Exchange "))
     assert {(r["new_ch"], r["old_ch"], r["score"], r["pass"]) for r in got.collect()} == {(1, 1, 0.5, "band"), (30, 3, 1.0, "work")}
     assert max(exchanges) <= 14
+
+
+@pytest.mark.parametrize("masked", (False, True))
+def test_kept_scores_are_the_best_of_all(masked, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    best, named = np.full((4, 6), -np.inf), np.full((4, 6), np.iinfo(np.int64).max)
+    sorts, sort = [], np.lexsort
+    monkeypatch.setattr(retrieve.np, "lexsort", lambda keys, **k: sorts.append(keys[0].size) or sort(keys, **k))
+    rows, names = [], rng.permutation(6_000)
+    for low in range(0, 6_000, 1_000):
+        score = np.round(rng.normal(size=(4, 1_000)), 2)
+        score[0, 3], score[1] = np.nan, np.where(rng.random(1_000) < 0.002, score[1], -1.0 if masked else -np.inf)
+        rows.append(score)
+        best, named = retrieve._kept(best, named, score, names[low : low + 1_000])
+    score = np.concatenate(rows, axis=1)
+    for k in range(4):
+        want = sorted(((-s, n) for s, n in zip(score[k].tolist(), names.tolist(), strict=True) if np.isfinite(s)))[:6]
+        assert [(-s, n) for s, n in zip(best[k].tolist(), named[k].tolist(), strict=True) if np.isfinite(s)] == want
+    assert max(sorts[1:], default=0) < 2_000
+
+
+def test_tallies_add_up():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    parts = [rng.integers(0, 50, n).astype(np.uint64) for n in (0, 1, 40, 300)]
+    tally = retrieve._tallied(parts[0])
+    for p in parts[1:]:
+        tally = retrieve._added(tally, retrieve._tallied(p))
+    assert [x.tolist() for x in tally] == [x.tolist() for x in np.unique(np.concatenate(parts), return_counts=True)]
