@@ -676,7 +676,7 @@ def map_round_trip(spark, sf_dir):
     path = _folder(spark)
     sinks.mapping(table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("to"), F.col("o_totalprice").alias("score")), path, "o_orderkey")
     out = readers.json_map(spark, path, "struct<to:string,score:double>")
-    return out.select(F.col("key").cast("bigint").alias("key"), F.col("value.to").alias("to_"), "value.score")
+    return out.select(F.nullif("key", F.lit("null")).cast("bigint").alias("key"), F.col("value.to").alias("to_"), "value.score")
 
 
 @query("SELECT l_orderkey, l_linestatus, count(*) AS n FROM lineitem WHERE l_linestatus = 'F' OR l_returnflag = 'N' GROUP BY 1, 2")

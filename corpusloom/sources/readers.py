@@ -34,9 +34,18 @@ def overlay(base: DataFrame, extra: DataFrame, key: str, order: str) -> DataFram
 
 
 def json_map(spark: SparkSession, path: str, value: str) -> DataFrame:
-    """(key, value) of a file that holds one JSON object; ``value`` is the DDL type of its values."""
-    df = spark.read.text(path, wholetext=True)
-    return df.select(F.explode(F.from_json("value", f"map<string,{value}>")))
+    """(key, value) of files that each hold one JSON object; ``value`` is the DDL type of its values.
+
+    Where each line has whole entries, as ``sinks.mapping`` writes them, lines are parsed by themselves, by many tasks.
+    Any line that breaks inside an entry fails to parse; then a file is one row, and has to fit in a task.
+    """
+    kind = f"map<string,{value}>"
+    lines, space = spark.read.text(path), " \t"
+    inner = F.rtrim(F.ltrim("value", F.lit("{" + space)), F.lit("," + space))
+    entries = F.from_json(F.concat(F.lit("{"), inner, F.lit("}")), kind)  # the parser stops at the first end
+    if lines.agg(F.bool_and(entries.isNotNull())).head()[0]:
+        return lines.select(F.explode(entries))
+    return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", kind)))
 
 
 def with_header(rows: DataFrame, value: str, header: str) -> DataFrame:

@@ -49,23 +49,58 @@ def replaced(df: DataFrame, path: str) -> DataFrame:
     spark = df.sparkSession
     trial = f"{path}.{uuid.uuid4().hex}"
     df.write.parquet(trial)
+    fs, old, new = _places(spark, path, trial)
+    _renamed(fs, new, old)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _places(spark, *paths: str):
+    """The file system of the first path, and the paths as Hadoop's."""
     sc = spark.sparkContext
-    old, new = (sc._jvm.org.apache.hadoop.fs.Path(x) for x in (path, trial))
-    fs = old.getFileSystem(sc._jsc.hadoopConfiguration())
+    places = [sc._jvm.org.apache.hadoop.fs.Path(x) for x in paths]
+    return places[0].getFileSystem(sc._jsc.hadoopConfiguration()), *places
+
+
+def _renamed(fs, new, old) -> None:
     fs.delete(old, True)
     if not fs.rename(new, old):
-        raise OSError(f"could not rename {trial} to {path}")
-    return spark.read.schema(df.schema).parquet(path)
+        raise OSError(f"could not rename {new} to {old}")
 
 
 def mapping(df: DataFrame, path: str, key: str) -> int:
-    """One JSON object of ``key`` to the other columns, in order of the key; the number of its entries. For maps that fit one file."""
+    """One JSON object of ``key`` to the other columns, in order of the key, in the one file of a folder; the number of its entries.
+
+    Tasks sort and write ranges of keys, whose files are then appended to one another as bytes: no task and no row holds
+    the map. A line has 64 entries, so that readers can split the file. A null key is "null", as Python writes it.
+    """
+    from pyspark.sql import Observation
+
+    spark, seen = df.sparkSession, Observation()
     value = F.to_json(F.struct(*[c for c in df.columns if c != key]))
-    name = F.regexp_extract(F.to_json(F.struct(F.col(key).cast("string").alias("k"))), r'^\{"k":(.*)\}$', 1)  # quoted as JSON does
-    pairs = df.select(F.col(key).alias("_key"), F.concat(name, F.lit(":"), value).alias("e"))
-    one = pairs.agg(F.transform(F.array_sort(F.collect_list(F.struct("_key", "e"))), lambda x: x["e"]).alias("es"))
-    one.select(F.concat(F.lit("{"), F.array_join("es", ",\n"), F.lit("}"))).coalesce(1).write.mode("overwrite").text(path)
-    return df.count()
+    name = F.regexp_extract(F.to_json(F.struct(F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("k"))), r'^\{"k":(.*)\}$', 1)  # quoted as JSON does
+    pairs = df.repartitionByRange(F.col(key)).select(F.col(key).alias("_key"), F.concat(name, F.lit(":"), value).alias("e"))
+    begins = F.when(F.monotonically_increasing_id() % 64 == 0, "\n").otherwise("")
+    rows = pairs.sortWithinPartitions("_key", "e").select(F.concat(begins, "e").alias("value")).observe(seen, F.count(F.lit(1)).alias("n"))
+    trial = f"{path}.{uuid.uuid4().hex}"
+    rows.write.option("lineSep", ",").option("compression", "none").text(f"{trial}/parts")
+    fs, old, new, parts, whole = _places(spark, path, trial, f"{trial}/parts", f"{trial}/part-00000.txt")
+    files = sorted(((x.getPath().getName(), x.getLen(), x.getPath()) for x in fs.listStatus(parts) if x.getLen()), key=lambda x: x[0])
+    out = fs.create(whole)
+    try:
+        out.write(b"{")
+        for k, (_, n, file) in enumerate(files):
+            part = fs.open(file)
+            try:
+                spark._jvm.org.apache.commons.io.IOUtils.copyLarge(part, out, 0, n - (k == len(files) - 1))  # the last entry has no comma
+            finally:
+                part.close()
+            fs.delete(file, False)
+        out.write(b"}\n")
+    finally:
+        out.close()
+    fs.delete(parts, True)
+    _renamed(fs, new, old)
+    return seen.get["n"]
 
 
 def index(path: str, units: DataFrame, docs: DataFrame, statistics: DataFrame) -> None:

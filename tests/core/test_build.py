@@ -1,6 +1,7 @@
 """The corpus build as a whole, generation and judging, and files."""
 
 import json
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -190,3 +191,29 @@ def test_files(spark, tmp_path):
 
     waits = []
     assert readers.with_retry(flaky, sleep=waits.append)() == "ok" and waits == [3.0, 6.0]
+
+
+def test_a_map_is_written_and_read_by_many_tasks(spark, tmp_path):
+    odd = F.concat(F.lit('"},\n{'), F.col("id").cast("string"))
+    rows = spark.range(1000).repartition(3).union(spark.sql("SELECT CAST(NULL AS BIGINT)")).withColumn("to", odd)
+    for _ in range(2):  # the second replaces the first
+        assert sinks.mapping(rows, str(tmp_path / "map"), "id") == 1001
+    (file,) = (tmp_path / "map").glob("part-*")
+    held = json.loads(file.read_text())
+    assert list(held) == ["null", *map(str, range(1000))] and held["7"] == {"to": '"},\n{7'} and held["null"] == {}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        got = readers.json_map(spark, str(tmp_path / "map"), "struct<to:string>").withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {r["key"]: r["value"]["to"] for r in got} == {k: v.get("to") for k, v in held.items()} and len(got) == 1001
+    assert max(Counter(r["task"] for r in got).values()) < 500
+    assert sinks.mapping(rows.limit(0), str(tmp_path / "none"), "id") == 0 and readers.json_map(spark, str(tmp_path / "none"), "string").count() == 0
+
+
+@pytest.mark.parametrize("layout", [json.dumps, lambda m: json.dumps(m, indent=0), lambda m: json.dumps(m, indent=2).replace(": {", ":\n{"), lambda m: json.dumps(m).replace(', "3', ',\n"3')])
+def test_a_map_is_read_in_any_layout(spark, tmp_path, layout):
+    held = {"1-1": {"to": "}, {", "score": 0.5}, '2"{,': {"to": 'a\n"}', "score": 1.0}, "3": {"to": None, "score": 2.0}}
+    (tmp_path / "map.json").write_text(layout(held))
+    got = readers.json_map(spark, str(tmp_path / "map.json"), "struct<to:string,score:double>").collect()
+    assert {r["key"]: r["value"].asDict() for r in got} == held and len(got) == 3
